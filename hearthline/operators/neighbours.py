@@ -26,6 +26,9 @@ FOUND = "query_id string, neighbour_id string, distance double"
 
 def _closest(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest of `points` for every query, a point never its own neighbour."""
+    if not len(queries) or not len(points):
+        return pd.DataFrame({"query_id": pd.Series(dtype=str), "neighbour_id": pd.Series(dtype=str),
+                             "distance": pd.Series(dtype=float)})
     x, y = np.array(queries["vector"].tolist()), np.array(points["vector"].tolist())
     names, own = points["id"].to_numpy(), queries["id"].to_numpy()
     out = []
@@ -91,13 +94,12 @@ def nearest_neighbours(points: DataFrame, key: str, vector: str, k: int, pivots:
         F.explode(candidate_cells("vector", "reach")).alias("cell"), chunk.alias("chunk"),
     ).withColumn("block", F.explode(F.sequence(F.lit(0), (F.element_at(n_blocks, F.col("cell")) - 1)))).filter(
         (F.col("cell") != F.col("own_cell")) | (F.col("block") != F.col("own_block"))
-    ).select("cell", "block", "chunk", "id", "vector")
+    ).select("cell", "block", "chunk", F.col("id").alias("sent_id"), F.col("vector").alias("sent_vector"))
     held = blocked.select("cell", "block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
                           "id", "vector")
     by = ["cell", "block", "chunk"]
     other = sent.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(
-        lambda q, p: _closest(q, p, k) if len(q) and len(p) else pd.DataFrame(
-            columns=["query_id", "neighbour_id", "distance"]), FOUND)
+        lambda q, p: _closest(q.rename(columns={"sent_id": "id", "sent_vector": "vector"}), p, k), FOUND)
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))), 1, k)
     return own.unionByName(other).groupBy("query_id").agg(best.alias("neighbours"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
@@ -70,17 +70,23 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, probabilities: d
         .agg(F.count(F.lit(1)).alias("n"))
     )
     placed = running_totals(counts, groups, "_value", ["n"], buckets, few_groups)
-    picks, finals = [], []
+    picks, finals = quantile_columns(probabilities, "_value", "n")
+    return placed.groupBy(*groups).agg(*picks).select(*groups, *finals)
+
+
+def quantile_columns(probabilities: dict[str, float], value: str, count: str) -> tuple[list[Column], list[Column]]:
+    """Aggregates over a `running_totals` result, and the quantiles computed from them."""
+    n, upto, total = F.col(count), F.col(f"cum_{count}"), F.col(f"total_{count}")
+    picks, finals = [F.max(total).alias("_total")], []
     for name, p in probabilities.items():
-        rank = F.lit(float(p)) * (F.col("total_n") - 1)
+        rank = F.lit(float(p)) * (total - 1)
         for part, position in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            here = (position >= F.col("cum_n") - F.col("n")) & (position < F.col("cum_n"))
-            picks.append(F.max(F.when(here, F.col("_value"))).alias(f"_{part}_{name}"))
+            here = (position >= upto - n) & (position < upto)
+            picks.append(F.max(F.when(here, F.col(value))).alias(f"_{part}_{name}"))
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         share = F.lit(float(p)) * (F.col("_total") - 1)
         finals.append((lo + (hi - lo) * (share - F.floor(share))).alias(name))
-    return (placed.groupBy(*groups).agg(F.max("total_n").alias("_total"), *picks)
-            .select(*groups, *finals))
+    return picks, finals
 
 
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline import fixed_values as fv
-from hearthline.operators.order_stats import long_form, quantiles, running_totals
+from hearthline.operators.order_stats import long_form, quantile_columns, running_totals
 from hearthline.operators.profile import null_profile
 from hearthline.operators.sampling import row_hash
 
@@ -63,32 +63,33 @@ def numeric_drift(baseline: DataFrame, current: DataFrame, columns: Sequence[str
     placed = running_totals(counts, ["feature"], "value", ["base", "cur"], few_groups=True)
     gap = F.abs(F.try_divide(F.col("cum_base").cast("double"), F.col("total_base"))
                 - F.try_divide(F.col("cum_cur").cast("double"), F.col("total_cur")))
-    distances = placed.groupBy("feature").agg(
-        F.max("total_base").alias("n_base"), F.max("total_cur").alias("n_cur"),
-        F.max(gap).alias("ks"),
-        F.coalesce(F.sum(gap * (F.col("next_value") - F.col("value"))), F.lit(0.0)).alias("_area"))
-    base_rows = rows.filter(F.col("b") == 1)
-    spread = base_rows.groupBy("feature").agg(F.stddev_pop("value").alias("_std"))
-    deciles = quantiles(base_rows, ["feature"], "value",
-                        {f"d{i}": i / 10 for i in range(1, 10)}, few_groups=True)
-    edges = deciles.select("feature", F.array(*[f"d{i}" for i in range(1, 10)]).alias("edges"))
-    bins = counts.join(F.broadcast(edges), "feature").groupBy(
-        "feature", F.size(F.filter("edges", lambda e: e < F.col("value"))).alias("bin")).agg(
-        F.sum("base").alias("base"), F.sum("cur").alias("cur"))
-    totals = Window.partitionBy("feature")
-
-    def part(c: str) -> Column:
-        return F.greatest(F.try_divide(F.col(c).cast("double"), F.sum(c).over(totals)), F.lit(PSI_FLOOR))
-
-    psi = bins.select("feature", part("base").alias("p"), part("cur").alias("q")).groupBy("feature").agg(
-        F.sum((F.col("q") - F.col("p")) * F.ln(F.col("q") / F.col("p"))).alias("psi"))
-    scored = distances.join(spread, "feature").join(psi, "feature").withColumns({
-        "wasserstein": F.col("_area") / F.greatest(F.col("_std"), F.lit(MIN_STD)),
-        "ks_p_value": ks_p_value(F.col("ks"), F.col("n_base").cast("double"), F.col("n_cur").cast("double")),
-    })
+    deciles = {f"d{i}": i / 10 for i in range(1, 10)}
+    picks, finals = quantile_columns(deciles, "value", "base")
+    summary = placed.groupBy("feature").agg(
+        F.max("total_base").alias("n_base"), F.max("total_cur").alias("n_cur"), F.max(gap).alias("ks"),
+        F.coalesce(F.sum(gap * (F.col("next_value") - F.col("value"))), F.lit(0.0)).alias("_area"),
+        (F.sum(F.col("base") * F.col("value")) / F.max("total_base")).alias("_mean"), *picks,
+    ).select("feature", "n_base", "n_cur", "ks", "_area", "_mean", F.array(*finals).alias("_edges"))
+    apart = F.col("value") - F.col("_mean")
+    bins = counts.join(F.broadcast(summary), "feature").groupBy(
+        "feature", F.size(F.filter("_edges", lambda e: e < F.col("value"))).alias("bin")).agg(
+        F.max(F.struct("n_base", "n_cur", "ks", "_area")).alias("s"),
+        F.sum("base").alias("base"), F.sum("cur").alias("cur"),
+        F.sum(F.col("base") * apart * apart).alias("squares"))
+
+    def part(count: str, total: str) -> Column:
+        return F.greatest(F.try_divide(F.col(count).cast("double"), F.col(f"s.{total}")), F.lit(PSI_FLOOR))
+
+    p, q = part("base", "n_base"), part("cur", "n_cur")
+    spread = F.greatest(F.sqrt(F.sum("squares") / F.max("s.n_base")), F.lit(MIN_STD))
+    scored = bins.groupBy("feature").agg(
+        F.max("s").alias("s"), F.sum((q - p) * F.ln(q / p)).alias("psi"), spread.alias("_std"),
+    ).select("feature", "s.n_base", "s.n_cur", "s.ks", "psi", (F.col("s._area") / F.col("_std")).alias("wasserstein")
+             ).withColumn("ks_p_value", ks_p_value(
+                 F.col("ks"), F.col("n_base").cast("double"), F.col("n_cur").cast("double")))
     drifted = F.when(F.col("n_base") > LARGE_BASELINE, F.col("wasserstein") >= DISTANCE_LIMIT).otherwise(
         F.col("ks_p_value") < P_VALUE_LIMIT)
-    return scored.withColumn("drifted", F.coalesce(drifted, F.lit(False))).drop("_area", "_std")
+    return scored.withColumn("drifted", F.coalesce(drifted, F.lit(False)))
 
 
 def categorical_drift(baseline: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:

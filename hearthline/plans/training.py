@@ -28,6 +28,7 @@ from hearthline.operators.sampling import poisson_one, temporal_split, uniform
 from hearthline.session import cut_lineage
 
 MAX_MAPPED_LEVELS = 2000
+SCRATCH = ["_x", "_features", "_prediction", "_probability", "_margin"]
 
 
 @dataclass
@@ -138,17 +139,21 @@ class StressModel:
     scale_pos_weight: float | None = None
 
     def score(self, df: DataFrame, output: str) -> DataFrame:
-        vector = prepare(df, self.prep, "_x").withColumn("features", array_to_vector("_x"))
+        vector = prepare(df, self.prep, "_x").withColumn("_features", array_to_vector("_x"))
         if isinstance(self.model, GBTRegressionModel):
-            return self.model.transform(vector).withColumnRenamed("prediction", output).drop("_x", "features")
+            return self.model.transform(vector).withColumn(output, F.col("_prediction")).drop(*SCRATCH)
         return (self.model.transform(vector)
-                .withColumn(output, vector_to_array("probability")[1])
-                .drop("_x", "features", "rawPrediction", "probability", "prediction"))
+                .withColumn(output, vector_to_array("_probability")[1]).drop(*SCRATCH))
 
 
 def _settings(rounds: int, depth: int) -> dict:
-    return dict(featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth,
-                stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
+    return dict(featuresCol="_features", labelCol="label", weightCol="weight", predictionCol="_prediction",
+                maxIter=rounds, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8,
+                featureSubsetStrategy="0.8", seed=42)
+
+
+def _classifier(rounds: int, depth: int) -> GBTClassifier:
+    return GBTClassifier(probabilityCol="_probability", rawPredictionCol="_margin", **_settings(rounds, depth))
 
 
 def _with_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -176,8 +181,8 @@ def train_stress_classifier(train: DataFrame, label: str, keys: Sequence[str], r
         weighted = ready.withColumn("weight", class_weight)
     else:
         weighted = ready.withColumn("weight", class_weight * F.col("row_weight"))
-    fit_on = weighted.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"), "weight")
-    return StressModel(label, prep, GBTClassifier(**_settings(rounds, depth)).fit(fit_on), scale)
+    fit_on = weighted.select(array_to_vector("x").alias("_features"), F.col("label").cast("double").alias("label"), "weight")
+    return StressModel(label, prep, _classifier(rounds, depth).fit(fit_on), scale)
 
 
 def train_composite_regressor(train: DataFrame, label: str = fv.COMPOSITE_LABEL, rounds: int = 300,
@@ -186,7 +191,7 @@ def train_composite_regressor(train: DataFrame, label: str = fv.COMPOSITE_LABEL,
     prep = fit_preparation(train, fv.NUMERIC_FEATURES, fv.CATEGORICAL_FEATURES)
     recency = recency_weight(F.col("month_slot")) if "month_slot" in train.columns else F.lit(1.0)
     ready = cut_lineage(prepare(train, prep).select(
-        array_to_vector("x").alias("features"), F.col(label).cast("double").alias("label"),
+        array_to_vector("x").alias("_features"), F.col(label).cast("double").alias("label"),
         recency.alias("weight")))
     return StressModel(label, prep, GBTRegressor(**_settings(rounds, depth)).fit(ready))
 
@@ -276,10 +281,10 @@ def row_drivers(model: StressModel, rows: DataFrame, keys: Sequence[str], k: int
     typical = F.array(*[F.lit(float(model.prep.neutral(f))) for f in names])
     ready = prepare(rows, model.prep, "_x").select(*keys, "_x")
     variants = ready.withColumn("_i", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1)))).withColumn(
-        "features", array_to_vector(F.transform("_x", lambda v, i: F.when(
+        "_features", array_to_vector(F.transform("_x", lambda v, i: F.when(
             i == F.col("_i"), F.element_at(typical, i + 1)).otherwise(v))))
     scored = model.model.transform(variants).select(
-        *keys, "_i", vector_to_array("probability")[1].alias("p"))
+        *keys, "_i", vector_to_array("_probability")[1].alias("p"))
     labels = F.array(*map(F.lit, names))
     gathered = scored.groupBy(*keys).agg(
         F.max(F.when(F.col("_i") < 0, F.col("p"))).alias("probability"),
