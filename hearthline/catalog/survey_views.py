@@ -12,6 +12,7 @@ map-side before any shuffle.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +22,12 @@ from hearthline import fixed_values as fv
 from hearthline.functions.features import engineer_features
 from hearthline.operators.cleaning import clean_con, clean_inc, clean_poi
 from hearthline.plans.household import household_with_totals, people_aggregate
+from hearthline.session import spread
 
 MONEY = "decimal(18,2)"
 DEMO_CUTOFF = "2000-01-01"
+# the third order priority plays a null marker
+PRIORITIES = ["1-URGENT", "2-HIGH", "Not Applicable", "4-NOT SPECIFIED", "5-LOW"]
 OCCUPATIONS = ["Wage Labourer", "Support Staff", "Student", "Unoccupied", "Home Maker"]
 
 
@@ -35,6 +39,15 @@ def picked(values: list[str], index: Column) -> Column:
     return F.element_at(literal_array(values), index.cast("int") + 1)
 
 
+def cents(column: str) -> Column:
+    """Money as whole cents: sums stay exact and in machine integers."""
+    return F.round(F.col(column) * 100).cast("long")
+
+
+def money_text(total: Column) -> Column:
+    return (total.cast("decimal(19,0)") * F.lit(Decimal("0.01"))).cast("string")
+
+
 def month(ts: str) -> Column:
     return F.trunc(F.col(ts).cast("date"), "month")
 
@@ -54,6 +67,10 @@ class SurveyTables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        return spread(self.table("lineitem"), "l_orderkey")
+
     # -- keys -----------------------------------------------------------------
     @cached_property
     def keys(self) -> DataFrame:
@@ -82,16 +99,17 @@ class SurveyTables:
     # -- raw surveys ------------------------------------------------------------
     @cached_property
     def inc_raw(self) -> DataFrame:
-        price = F.col("o_totalprice").cast(MONEY)
+        price = cents("o_totalprice")
 
         def part(condition: Column) -> Column:
-            return F.coalesce(F.sum(F.when(condition, price)), F.lit(0).cast(MONEY)).cast("string")
+            return money_text(F.sum(F.when(condition, price).otherwise(F.lit(0))))
 
-        monthly = self.table("orders").groupBy("o_custkey", month("o_orderdate").alias("month")).agg(
+        orders = spread(self.table("orders"), "o_custkey")
+        monthly = orders.groupBy("o_custkey", month("o_orderdate").alias("month")).agg(
             F.min("o_orderkey").alias("first_key"),
             F.count(F.lit(1)).alias("n_orders"),
-            F.min("o_orderpriority").alias("priority"),
-            F.sum(price).cast("string").alias("total"),
+            F.min(F.left("o_orderpriority", F.lit(1)).cast("int")).alias("priority"),
+            money_text(F.sum(price)).alias("total"),
             part(F.col("o_orderstatus") == "F").alias("wages"),
             part(F.col("o_orderstatus") == "O").alias("rent"),
             part(F.col("o_orderstatus") == "P").alias("business"),
@@ -106,8 +124,7 @@ class SurveyTables:
             F.when(F.col("REGION_TYPE") == "RURAL", F.upper(slot)).otherwise(slot).alias("MONTH_SLOT"),
             slot.alias("MONTH"),
             marked(13, "Data Not Available", "custkey", F.lower("DISTRICT")).alias("AGE_GROUP"),
-            F.when(F.col("priority") == "3-MEDIUM", F.lit("Not Applicable"))
-            .otherwise(F.col("priority")).alias("OCCUPATION_GROUP"),
+            picked(PRIORITIES, F.col("priority") - 1).alias("OCCUPATION_GROUP"),
             marked(17, "DK", "custkey", picked(fv.EDUCATION_GROUPS, F.col("custkey") % 11)).alias("EDU_GROUP"),
             marked(19, "dk", "custkey", picked(fv.GENDER_GROUPS, F.col("custkey") % 7)).alias("GENDER_GROUP"),
             F.concat(F.col("n_orders").cast("string"), F.lit(" Members")).alias("SIZE_GROUP"),
@@ -123,8 +140,7 @@ class SurveyTables:
 
     @cached_property
     def con_raw(self) -> DataFrame:
-        price = F.col("l_extendedprice").cast(MONEY)
-        none = F.lit(0).cast(MONEY)
+        price, none = cents("l_extendedprice"), F.lit(0)
         spend = {
             "food": F.col("l_linenumber") % 2 == 0,
             "emi": (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25),
@@ -134,7 +150,7 @@ class SurveyTables:
             "vacation": (F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 7),
             "restaurants": (F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1),
         }
-        per_order = self.table("lineitem").groupBy("l_orderkey").agg(
+        per_order = self.lines.groupBy("l_orderkey").agg(
             F.sum(price).alias("total"),
             *[F.sum(F.when(cond, price).otherwise(none)).alias(name) for name, cond in spend.items()],
         )
@@ -144,7 +160,7 @@ class SurveyTables:
             per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .groupBy("o_custkey", "month")
             .agg(F.min("o_orderkey").alias("first_key"),
-                 *[F.sum(c).cast("string").alias(c) for c in ["total", *spend]])
+                 *[money_text(F.sum(c)).alias(c) for c in ["total", *spend]])
         )
         slot = F.date_format("month", "MMM yyyy")
         return monthly.join(self.keys, F.col("o_custkey") == F.col("custkey")).select(
@@ -167,7 +183,7 @@ class SurveyTables:
         orders = self.table("orders").select(
             "o_orderkey", "o_custkey", month("o_orderdate").alias("month"))
         people = (
-            self.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            self.lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.keys, F.col("o_custkey") == F.col("custkey"))
         )
 
@@ -347,7 +363,7 @@ class SurveyTables:
         extra = F.when(key % 7 == 0, F.array(F.lit("thanks"))).otherwise(F.array().cast("array<string>"))
         texts = F.when(key % 13 == 0, first).otherwise(F.concat(first, rest, extra))
         return (
-            self.table("orders").join(self.keys, F.col("o_custkey") == F.col("custkey"))
+            spread(self.table("orders"), "o_orderkey").join(self.keys, F.col("o_custkey") == F.col("custkey"))
             .select(F.concat(F.lit("S"), key.cast("string")).alias("session"), "o_orderkey",
                     F.posexplode(texts).alias("position", "text"))
             .select("session", (F.col("o_orderkey") * 100 + F.col("position")).alias("message_id"), "text")

@@ -153,7 +153,8 @@ def _settings(rounds: int, depth: int) -> dict:
 
 
 def _classifier(rounds: int, depth: int) -> GBTClassifier:
-    return GBTClassifier(probabilityCol="_probability", rawPredictionCol="_margin", **_settings(rounds, depth))
+    trees = GBTClassifier(**_settings(rounds, depth))
+    return trees.setProbabilityCol("_probability").setRawPredictionCol("_margin")
 
 
 def _with_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -22,9 +22,35 @@ def local_session(app: str = "hearthline", cores: str | int = "*", partitions: i
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return tune(spark)
+
+
+JIT_METHOD_LIMIT = "8000"
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings for wide survey rows.
+
+    The JVM never compiles a method above 8000 bytes of bytecode, so one fused method per
+    stage, which a projection of 100 columns easily exceeds, would run interpreted. With
+    this limit Spark falls back to many small compiled methods for exactly those stages.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(name) == "65535":
+        spark.conf.set(name, JIT_METHOD_LIMIT)
     return spark
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute a scan that has fewer splits than the cluster has cores.
+
+    A small file, or one with a single row group, is read by one task, and everything up to
+    the next shuffle would stay there. Tables with enough splits pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for `purpose` below the cluster's shared checkpoint folder.
 
