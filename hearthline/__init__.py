@@ -1,2 +1,9 @@
 """Household financial-stress analytics on Spark: cleaning, joining, labelling,
 training, scoring and monitoring of longitudinal household surveys."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

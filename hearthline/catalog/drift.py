@@ -29,11 +29,15 @@ def _ks(c: str) -> str:
                        greatest(sum(1 - b)::DOUBLE / sum(sum(1 - b)) OVER (), 0.0001) AS q
                 FROM (SELECT b, len(list_filter(edges, lambda e: e < {c})) AS bin FROM {SIDES},
                       (SELECT [{deciles}] AS edges FROM {SIDES} WHERE b = 1) WHERE {c} IS NOT NULL) GROUP BY bin)"""
-    return f"""SELECT '{c}' AS feature, round(max(abs(f1 - f2)), 6) AS ks,
-                      round(sum(abs(f1 - f2) * (nxt - v)) / {spread}, 6) AS wasserstein,
-                      (SELECT round(sum((q - p) * ln(q / p)), 6) FROM {bins}) AS psi,
-                      (SELECT count({c}) FROM {SIDES} WHERE b = 1) AS n_base,
-                      sum(abs(f1 - f2) * (nxt - v)) / {spread} >= 0.1 AS drifted FROM {steps}"""
+    lam = "(sqrt(n_base * n_cur / (n_base + n_cur)) + 0.12 + 0.11 / sqrt(n_base * n_cur / (n_base + n_cur))) * d"
+    p_value = (f"CASE WHEN {lam} < 0.2 THEN 1 ELSE 2 * list_sum(list_transform(range(1, 31), "
+               f"lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * pow({lam}, 2)))) END")
+    return f"""SELECT '{c}' AS feature, round(d, 6) AS ks, round(w, 6) AS wasserstein,
+                      (SELECT round(sum((q - p) * ln(q / p)), 6) FROM {bins}) AS psi, n_base::BIGINT AS n_base,
+                      CASE WHEN n_base > 1000 THEN w >= 0.1 ELSE {p_value} < 0.05 END AS drifted
+               FROM (SELECT max(abs(f1 - f2)) AS d, sum(abs(f1 - f2) * (nxt - v)) / {spread} AS w FROM {steps}),
+                    (SELECT (count({c}) FILTER (WHERE b = 1))::DOUBLE AS n_base,
+                            (count({c}) FILTER (WHERE b = 0))::DOUBLE AS n_cur FROM {SIDES})"""
 
 
 @query("numeric_drift", over(" UNION ALL ".join(_ks(c) for c in NUMERIC), "household"))
