@@ -13,20 +13,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.session import cut_lineage
+
 DEFAULT_BUCKETS = 64
 
 
 def running_totals(df: DataFrame, groups: Sequence[str], order_col: str, sums: Sequence[str],
-                   buckets: int = DEFAULT_BUCKETS, few_groups: bool = False) -> DataFrame:
+                   buckets: int = DEFAULT_BUCKETS, few_groups: bool = False,
+                   written: bool = False) -> DataFrame:
     """Inclusive running totals of `sums` along `order_col` within `groups`.
 
     `df` has one row per (groups, order_col), the column never null. Adds `cum_<s>`,
     `total_<s>` and `next_value` (the following value of the group, null at its end).
-    `few_groups` states that the number of groups is a small constant of the caller (a list
+    It is written to the shared folder first: three passes read it, and however costly its
+    own plan is, it runs once (`written` says the caller has done so). `few_groups` states that the number of groups is a small constant of the caller (a list
     of features or labels), which makes the range edges safe to broadcast. Without it the
     planner decides by size.
     """
     groups = list(groups)
+    df = df if written else cut_lineage(df)
     cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = df.groupBy(*groups).agg(
         F.percentile_approx(order_col, cuts, F.lit(10000)).alias("_edges"),

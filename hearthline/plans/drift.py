@@ -11,6 +11,7 @@ from hearthline import fixed_values as fv
 from hearthline.operators.order_stats import long_form, quantile_columns, running_totals
 from hearthline.operators.profile import null_profile
 from hearthline.operators.sampling import row_hash
+from hearthline.session import cut_lineage
 
 LARGE_BASELINE = 1000
 DISTANCE_LIMIT = 0.1
@@ -58,9 +59,9 @@ def numeric_drift(baseline: DataFrame, current: DataFrame, columns: Sequence[str
     """
     rows = long_form(baseline, columns).withColumn("b", F.lit(1)).unionByName(
         long_form(current, columns).withColumn("b", F.lit(0))).filter(F.col("value").isNotNull())
-    counts = rows.groupBy("feature", "value").agg(
-        F.sum("b").alias("base"), F.sum(1 - F.col("b")).alias("cur"))
-    placed = running_totals(counts, ["feature"], "value", ["base", "cur"], few_groups=True)
+    counts = cut_lineage(rows.groupBy("feature", "value").agg(
+        F.sum("b").alias("base"), F.sum(1 - F.col("b")).alias("cur")))
+    placed = running_totals(counts, ["feature"], "value", ["base", "cur"], few_groups=True, written=True)
     gap = F.abs(F.try_divide(F.col("cum_base").cast("double"), F.col("total_base"))
                 - F.try_divide(F.col("cum_cur").cast("double"), F.col("total_cur")))
     deciles = {f"d{i}": i / 10 for i in range(1, 10)}

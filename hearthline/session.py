@@ -67,9 +67,9 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of `df`, for plans that read one costly result several times."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(spark, "lineage"))
-    return df.checkpoint()
+    """`df` as a table written once to the shared folder, for results that are read several
+    times. It survives lost executors, is scanned with column pruning, and tells the planner
+    its size; a checkpoint would compute the result twice and keep whole rows."""
+    path = shared_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
