@@ -33,8 +33,8 @@ from hearthline.session import cut_lineage
 
 WINDOW = 2048
 END_ID = 1
-#: Distinct chunks whose ids a Python worker remembers; a matter of speed only.
-REMEMBERED_CHUNKS = 400_000
+#: Recent chunks whose ids a Python worker remembers, twice; a matter of speed only.
+REMEMBERED_CHUNKS = 450_000
 
 STAGED = ("doc_id long, row_id long, doc_tokens long, full_crc array<long>, full_seq long, "
           "tail_len int, tail_crc long, tail binary, wide boolean")
@@ -54,15 +54,28 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            # letters and one mark behind them are two words to the tokenizer
+            if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
+                ids = self[chunk[:-1]] + self[chunk[-1]]
+            else:
+                ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= REMEMBERED_CHUNKS:
+            self.older = dict(self)
             self.clear()
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         self[chunk] = ids
         return ids
 
     def of(self, text: str) -> bytes:
+        try:  # in this range lower case is one letter for one, whatever the tokenizer does first
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
         if "\n" in text:
             text = text.replace("\n", " ")
         return b"".join(map(self.__getitem__, text.split(" ")))
