@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import language, packing, toxicity
+from hearthline.llm import language, near_dedup, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,3 +40,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
