@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.graph import connected_components
+from hearthline.llm.lists import apart_pairs, broadcast_if_small, labelled, others, star_pairs
 from hearthline.llm.shipping import shipped
 from hearthline.session import cut_lineage
 
@@ -154,10 +155,6 @@ def inverted_lists(classes: DataFrame, frequency: np.ndarray, threshold: int) ->
     return entries.join(shared, "value")
 
 
-def sizes_allow(a: str, b: str, threshold: int):
-    return F.expr(f"100 * least({a}, {b}) >= {threshold} * greatest({a}, {b})")
-
-
 def estimated(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose union sketch does not speak against the threshold."""
     def side(name):
@@ -182,7 +179,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
     """The pairs whose full sets, built from whole texts again, reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = broadcast_if_small(cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     texts = (docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
              .join(wanted, "node"))
 
@@ -209,41 +206,6 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> D
         run, "a long, b long")
 
 
-def star_pairs(lists: DataFrame, leading: DataFrame, threshold: int) -> DataFrame:
-    """In each list, the first class of `leading` against the list's members elsewhere."""
-    leaders = (leading.groupBy("value").agg(F.min_by(F.struct("node", "component", "n"), "node").alias("lead"))
-               .select("value", "lead.*").toDF("value", "lead", "lead_component", "lead_n"))
-    return (lists.join(leaders, "value").filter("component != lead_component")
-            .filter(sizes_allow("n", "lead_n", threshold))
-            .select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct())
-
-
-def others(lists: DataFrame) -> DataFrame:
-    """Lists without the members of their first class's component, where others remain."""
-    leaders = lists.groupBy("value").agg(F.min_by("component", "node").alias("lead_component"))
-    return lists.join(leaders, "value").filter("component != lead_component").drop("lead_component")
-
-
-def apart_pairs(lists: DataFrame, threshold: int) -> DataFrame:
-    """All pairs in a list that are still in different components: those outside the list's
-    largest component, against everything elsewhere."""
-    counts = lists.groupBy("value", "component").agg(F.count("*").alias("k"))
-    main = (counts.groupBy("value").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"))
-            .filter("parts > 1"))
-    few = lists.join(main, "value").filter("component != main").select(
-        "value", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"), "main")
-    return (few.join(lists, "value")
-            .filter("component != x_component and (component = main or node > x)")
-            .filter(sizes_allow("n", "x_n", threshold))
-            .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
-
-
-def labelled(lists: DataFrame, components: DataFrame) -> DataFrame:
-    found = components.select("node", F.col("component").alias("found"))
-    return lists.drop("component").join(found, "node", "left").select(
-        "value", "node", "n", F.coalesce("found", "node").alias("component"))
-
-
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WORDS_PER_SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     spark = docs.sparkSession
