@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.llm.lists import broadcast_if_small
+from hearthline.session import cut_lineage
+
 
 def bounded_per_class(rows: DataFrame, label: str, bound: int, key: str = "doc_id") -> DataFrame:
     """At most `bound` rows of every class: those with the smallest hashes of `key`.
@@ -14,7 +17,7 @@ def bounded_per_class(rows: DataFrame, label: str, bound: int, key: str = "doc_i
     """
     rows = rows.withColumn("draw", F.xxhash64(F.lit("draw"), key).bitwiseAND(F.lit((1 << 62) - 1)) / float(1 << 62))
     counts = rows.groupBy(label).agg(F.count("*").alias("class_rows"))
-    thinned = (rows.join(counts, label)
+    thinned = (rows.join(broadcast_if_small(cut_lineage(counts)), label)
                .filter(F.col("draw") * F.col("class_rows") <= F.lit(1.2 * bound + 50)))
     ranked = Window.partitionBy(label).orderBy("draw", key)
     return thinned.withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= bound).select(*[
