@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import decontamination, language, line_dedup, near_dedup, packing, toxicity
+from hearthline.llm import decontamination, language, line_dedup, near_dedup, packing, secret_scan, surrogates, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +58,16 @@ SQL["op10_decontamination"] = decontamination.SQL
 @registered
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+#: Key of the stand-ins in the registered query; a job passes its own secret.
+SURROGATE_KEY = "hearthline"
+
+
+@registered
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
+@registered
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
