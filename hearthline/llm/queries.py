@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import decontamination, language, line_dedup, near_dedup, packing, secret_scan, surrogates, toxicity
+from hearthline.llm import decontamination, embedding_dedup, language, line_dedup, near_dedup, packing, secret_scan, surrogates, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,3 +71,17 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@registered
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_index(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op6_warc_index"] = warc.SQL
