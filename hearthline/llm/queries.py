@@ -85,3 +85,10 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op6_warc_index"] = warc.SQL
+
+
+@registered
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

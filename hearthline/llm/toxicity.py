@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -274,46 +275,69 @@ def spans_of(text: str, p: np.ndarray) -> list[dict]:
     return spans
 
 
+def chunks(texts: list, chunk_chars: int):
+    """Consecutive texts of together about `chunk_chars` characters, with the first's index."""
+    first, part, size = 0, [], 0
+    for i, text in enumerate(texts):
+        part.append(text or "")
+        size += len(part[-1])
+        if size >= chunk_chars:
+            yield first, part
+            first, part, size = i + 1, [], 0
+    if part:
+        yield first, part
+
+
+def scores_of(texts: list[str], crf: ToxicityModel, cache: WordScores):
+    """Scores, toxic words and spans of `texts`."""
+    if crf.constant is not None:
+        return np.full(len(texts), crf.constant), np.zeros(len(texts), np.int64), [[] for _ in texts]
+    parts, sizes = [], []
+    for text in texts:
+        found = TOKEN.findall(text)
+        found.append("\n")
+        parts.append(np.fromiter(map(cache.__getitem__, found), float, len(found)))
+        sizes.append(len(found))
+    p = crf.marginals(np.concatenate(parts))
+    at = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    n_words = np.add.reduceat((p >= 0.5).astype(np.int64), at)
+    spans = [spans_of(t, p[a:a + n]) if k else [] for t, a, n, k in zip(texts, at, sizes, n_words)]
+    return crf.document_scores(p, sizes), n_words, spans
+
+
 def score_texts(docs: DataFrame, model: ToxicityModel, chunk_chars: int = 2_000_000) -> DataFrame:
     """doc_id, score, n_toxic_words and the offending spans of every row."""
     shared = shipped(docs.sparkSession, model)
 
-    def chunks(batch):
-        ids, texts, size = [], [], 0
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            ids.append(None if pd.isna(doc_id) else int(doc_id))
-            texts.append(text or "")
-            size += len(texts[-1])
-            if size >= chunk_chars:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
-
     def run(batches):
         crf = shared()
         cache = WordScores(crf)
         for batch in batches:
-            for ids, texts in chunks(batch):
-                parts, sizes = [], []
-                for text in texts:
-                    found = TOKEN.findall(text)
-                    found.append("\n")
-                    parts.append(np.fromiter(map(cache.__getitem__, found), float, len(found)))
-                    sizes.append(len(found))
-                if crf.constant is not None:
-                    scores, n_words, spans = np.full(len(ids), crf.constant), np.zeros(len(ids), int), [[]] * len(ids)
-                else:
-                    p = crf.marginals(np.concatenate(parts))
-                    at = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-                    scores = crf.document_scores(p, sizes)
-                    n_words = np.add.reduceat((p >= 0.5).astype(np.int64), at)
-                    spans = [spans_of(t, p[a:a + n]) if k else [] for t, a, n, k in zip(texts, at, sizes, n_words)]
-                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "score": scores, "n_toxic_words": n_words, "spans": spans})
+            ids = batch["doc_id"].astype("Int64")
+            for at, texts in chunks(list(batch["text"]), chunk_chars):
+                scores, n_words, spans = scores_of(texts, crf, cache)
+                yield pd.DataFrame({"doc_id": ids.iloc[at:at + len(texts)].to_numpy(), "score": scores, "n_toxic_words": n_words,
+                                    "spans": spans}).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, SCORES)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, labelled_bound: int = LABELLED_BOUND,
+                  chunk_chars: int = 2_000_000) -> DataFrame:
+    """`docs`, all columns as they are, without the documents that are predicted toxic."""
+    shared = shipped(docs.sparkSession, learn(docs, labels, labelled_bound))
+
+    def run(batches):
+        crf = shared()
+        cache = WordScores(crf)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            keep = np.concatenate([scores_of(part, crf, cache)[0] < 0.5 for _, part in chunks(texts, chunk_chars)] or [np.zeros(0, bool)])
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_bound: int = LABELLED_BOUND) -> DataFrame:
     """doc_id, held_out, score, predicted, then the number of toxic words and their spans."""
     scored = score_texts(docs, learn(docs, labels, labelled_bound))
