@@ -17,6 +17,22 @@ def based(seconds: int, span: int, where: str = "true") -> str:
             f"RANGE BETWEEN {span} PRECEDING AND CURRENT ROW) AS baseline FROM {buckets(seconds, where)})")
 
 
+def filled(seconds: int, where: str = "true") -> str:
+    """Counts with zeros from a domain's first bucket to the last one of all."""
+    return (f"(WITH c AS {buckets(seconds, where)} SELECT e.domain, e.bucket, coalesce(c.n, 0) AS n FROM ("
+            f"SELECT domain, unnest(generate_series(min(bucket), (SELECT max(bucket) FROM c), {seconds})) AS bucket "
+            f"FROM c GROUP BY domain) e LEFT JOIN c ON c.domain = e.domain AND c.bucket = e.bucket)")
+
+
+def alerting(seconds: int, span: int, firing: str, hold: int, where: str = "true") -> str:
+    """Firing buckets, and those whose last `hold` seconds fired throughout."""
+    fired = (f"(SELECT *, {firing} AS firing FROM (SELECT *, avg(n) OVER (PARTITION BY domain ORDER BY bucket "
+             f"RANGE BETWEEN {span} PRECEDING AND CURRENT ROW) AS baseline FROM {filled(seconds, where)}))")
+    return (f"SELECT domain, bucket, n, round(baseline, 9) AS baseline, firing, firing AND bucket - min(bucket) OVER "
+            f"(PARTITION BY domain, firing, island) >= {hold} AS alert FROM (SELECT *, bucket - {seconds} * row_number() "
+            f"OVER (PARTITION BY domain, firing ORDER BY bucket) AS island FROM {fired})")
+
+
 @query("prediction_counts", over(f"SELECT * FROM {buckets(300)}", "prediction_log"))
 def prediction_counts(t):
     return al.bucket_counts(t.prediction_log, 5 * al.MINUTE)
@@ -29,23 +45,18 @@ def rolling_baseline(t):
     return al.rolling_baseline(counts, al.WEEK).withColumn("baseline", F.round("baseline", 9))
 
 
-@query("volume_drop_alert", over(f"""
-    SELECT domain, bucket, n, round(baseline, 9) AS baseline, n < 0.5 * baseline AS firing
-    FROM {based(300, 3600)}""", "prediction_log"))
+@query("volume_drop_alert", over(alerting(300, 3600, "n < 0.5 * baseline", 600), "prediction_log"))
 def volume_drop_alert(t):
     return al.volume_drop_alert(t.prediction_log).withColumn("baseline", F.round("baseline", 9))
 
 
-@query("high_stress_surge", over(f"""
-    SELECT domain, bucket, n, round(baseline, 9) AS baseline, n > 1.2 * baseline AS firing
-    FROM {based(3600, 604800, "probability >= 0.5")}""", "prediction_log"))
+@query("high_stress_surge", over(alerting(3600, 604800, "n > 1.2 * baseline", 1800, "probability >= 0.5"), "prediction_log"))
 def high_stress_surge(t):
     return al.high_stress_surge(t.prediction_log).withColumn("baseline", F.round("baseline", 9))
 
 
-@query("domain_surge", over(f"""
-    SELECT domain, bucket, n, round(baseline, 9) AS baseline, n > 1.3 * baseline AS firing
-    FROM {based(3600, 604800, "probability >= 0.5 AND domain = 'financial_stress'")}""", "prediction_log"))
+@query("domain_surge", over(alerting(3600, 604800, "n > 1.3 * baseline", 3600,
+                            "probability >= 0.5 AND domain = 'financial_stress'"), "prediction_log"))
 def domain_surge(t):
     return al.domain_surge(t.prediction_log).withColumn("baseline", F.round("baseline", 9))
 

@@ -34,7 +34,7 @@ def _ks(c: str) -> str:
                f"lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * pow({lam}, 2)))) END")
     return f"""SELECT '{c}' AS feature, round(d, 6) AS ks, round(w, 6) AS wasserstein,
                       (SELECT round(sum((q - p) * ln(q / p)), 6) FROM {bins}) AS psi, n_base::BIGINT AS n_base,
-                      CASE WHEN n_base > 1000 THEN w >= 0.1 ELSE {p_value} < 0.05 END AS drifted
+                      w >= 0.1 AS drifted, {p_value} < 0.05 AS drifted_by_ks
                FROM (SELECT max(abs(f1 - f2)) AS d, sum(abs(f1 - f2) * (nxt - v)) / {spread} AS w FROM {steps}),
                     (SELECT (count({c}) FILTER (WHERE b = 1))::DOUBLE AS n_base,
                             (count({c}) FILTER (WHERE b = 0))::DOUBLE AS n_cur FROM {SIDES})"""
@@ -43,7 +43,8 @@ def _ks(c: str) -> str:
 @query("numeric_drift", over(" UNION ALL ".join(_ks(c) for c in NUMERIC), "household"))
 def numeric_drift(t):
     return d.numeric_drift(*sides(t), NUMERIC).select(
-        "feature", rounded("ks"), rounded("wasserstein"), rounded("psi"), "n_base", "drifted")
+        "feature", rounded("ks"), rounded("wasserstein"), rounded("psi"), "n_base", "drifted",
+        (F.col("ks_p_value") < d.P_VALUE_LIMIT).alias("drifted_by_ks"))
 
 
 def _js(c: str) -> str:
@@ -91,7 +92,7 @@ def drift_share(t):
 @query("retrain_decision", over(f"""
     SELECT round(drift_share, 6) AS drift_share, round(stress_rate, 6) AS stress_rate,
            concat_ws('; ', CASE WHEN drift_share > 0.30 THEN 'dataset drift ' || printf('%.2f', drift_share * 100) || '% > 30%' END,
-               CASE WHEN abs(stress_rate - 0.42) > 0.15 THEN 'rate shift ' || printf('%.2f', abs(stress_rate - 0.42) * 100) || '% > 15%' END) AS reasons,
+               CASE WHEN abs(stress_rate - 0.42) > 0.15 THEN 'stress rate shift ' || printf('%.2f', abs(stress_rate - 0.42) * 100) || '% > 15%' END) AS reasons,
            drift_share > 0.30 OR abs(stress_rate - 0.42) > 0.15 AS retrain FROM
     (SELECT avg((js_distance >= 0.1)::INTEGER) AS drift_share FROM ({" UNION ALL ".join(_js(c) for c in CATEGORICAL)})),
     (SELECT avg(CASE WHEN is_stressed THEN 1.0::DOUBLE ELSE 0 END) AS stress_rate FROM assessments
@@ -115,9 +116,11 @@ def prediction_drift(t):
         "feature", rounded("baseline_mean"), rounded("current_mean"), "alert")
 
 
-@query("baseline_sample")
-def baseline_sample(t):
-    return d.baseline_sample(t.household, ["household_id", "month_slot"]).select(
+@query("baseline_rows", over("""
+    SELECT household_id, cast(month_slot AS VARCHAR) AS month_slot, financial_stress, savings_proxy FROM household
+    WHERE financial_stress IS NOT NULL""", "household"))
+def baseline_rows(t):
+    return d.baseline_rows(t.household).select(
         "household_id", F.col("month_slot").cast("string").alias("month_slot"), "financial_stress", "savings_proxy")
 
 

@@ -243,12 +243,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM joined)"""),
     "household": (("labelled",), """
         SELECT *,
-               CASE WHEN num_members / (income_all_members_from_wages / 10000 + 1e-9) > 200 THEN 200.0
-                    ELSE num_members / (income_all_members_from_wages / 10000 + 1e-9) END AS dependents_ratio,
+               CASE WHEN num_members / (total_income / 10000 + 1e-9) > 200 THEN 200.0
+                    ELSE num_members / (total_income / 10000 + 1e-9) END AS dependents_ratio,
                savings_proxy / (total_expenditure_adjusted + 1e-9) AS savings_buffer_months,
                (1 - coalesce(has_health_insurance_hh_any, 0)) * coalesce(health_to_expense_ratio, 0) AS no_insurance_vulnerability,
                CASE WHEN upper(region_type) IN ('RURAL', 'VILLAGE')
-                     AND coalesce(income_all_members_from_wages, 0) < 25000 THEN 1 ELSE 0 END AS rural_low_income_flag,
+                     AND coalesce(total_income, 0) < 25000 THEN 1 ELSE 0 END AS rural_low_income_flag,
                emi_to_income_ratio * least(coalesce(is_hospitalised_hh_any, 0)
                      + coalesce(is_on_regular_medication_hh_any, 0), 1) AS emi_health_interaction
         FROM (

@@ -1,5 +1,9 @@
 """Queries for sources and sinks: each writes survey tables and reads them back."""
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from hearthline.catalog.oracle_views import over
@@ -12,11 +16,33 @@ RAW = ["HH_ID", "STATE", "MONTH_SLOT", "MONTH", "TOT_INC", "INC_OF_ALL_MEMS_FRM_
 
 
 @query("ingest_raw_csv", over(f"""
-    SELECT {", ".join(f"nullif({c}, '') AS {c}" for c in RAW)}, NULL::VARCHAR AS PSU_MISSING FROM inc_raw""", "inc_raw"))
+    SELECT {", ".join(f"nullif({c}, '') AS {c}" for c in RAW)}, CASE WHEN TOT_INC IS NULL THEN 'new' END AS PSU_MISSING,
+           NULL::VARCHAR AS file_stamp FROM inc_raw""", "inc_raw"))
 def ingest_raw_csv(t):
+    """Two versions of the header: another order, and a column that only one has."""
     folder = shared_dir(t.spark, "raw-csv")
-    t.inc_raw.write.option("header", True).option("compression", "gzip").csv(folder)
-    return r.ingest_raw_csv(t.spark, folder, [*RAW, "PSU_MISSING"]).drop("file_stamp")
+    old, new = t.inc_raw.filter("TOT_INC is not null"), t.inc_raw.filter("TOT_INC is null")
+    old.write.option("header", True).option("compression", "gzip").csv(folder)
+    new.select(*reversed(new.columns)).withColumn("PSU_MISSING", F.lit("new")).write.option("header", True).mode(
+        "append").csv(folder)
+    return r.ingest_raw_csv(t.spark, folder, [*RAW, "PSU_MISSING"])
+
+
+@query("ingest_raw_zip", over(f"""
+    SELECT {", ".join(f"coalesce({c}, '') AS {c}" for c in RAW)} FROM inc_raw""", "inc_raw"))
+def ingest_raw_zip(t):
+    """Archives made from the raw table, one per month, two CSV members in each."""
+    def archives(batches):
+        for batch in batches:
+            for month, rows in batch.groupby("MONTH_SLOT", dropna=False):
+                packed = io.BytesIO()
+                with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+                    for part, half in enumerate((rows.iloc[::2], rows.iloc[1::2])):
+                        archive.writestr(f"part_{part}.csv", half.to_csv(index=False))
+                yield pd.DataFrame({"content": [packed.getvalue()]})
+
+    made = t.inc_raw.select(*RAW).mapInPandas(archives, "content binary")
+    return r.parse_archives(made.withColumn("path", F.lit("income.zip")), RAW).drop("file_stamp")
 
 
 @query("file_stamp", """

@@ -36,10 +36,11 @@ def shown(df, *columns):
 
 
 @query("temporal_split", over(f"""
-    SELECT {KEYS}, CASE WHEN month_slot < DATE '{DEMO_CUTOFF}' THEN 'train' ELSE 'test' END AS split
+    SELECT {KEYS}, CASE WHEN month_slot < DATE '{DEMO_CUTOFF}' THEN 'train' ELSE 'test' END AS split,
+           'temporal' AS split_method
     FROM household WHERE month_slot IS NOT NULL""", "household"))
 def temporal_split(t):
-    return shown(sm.temporal_split(t.household, "debt_stress", ROW, cutoff=DEMO_CUTOFF, min_train=100, min_test=20), "split")
+    return shown(sm.temporal_split(t.household, "debt_stress", ROW, cutoff=DEMO_CUTOFF), "split", "split_method")
 
 
 @query("stratified_random_split", over("""

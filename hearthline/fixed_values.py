@@ -284,7 +284,6 @@ SMOTE_TRIGGER_RATIO = 50.0
 SMOTE_TARGET_RATIO = 0.1
 SMOTE_NEIGHBOURS = 5
 MAX_TRAINING_ROWS = 1_000_000
-BASELINE_ROWS = 5000
 EVALUATION_THRESHOLDS = {
     "financial_stress": 0.5, "food_stress": 0.5, "debt_stress": 0.5, "health_stress": 0.2,
 }

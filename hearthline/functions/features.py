@@ -10,10 +10,10 @@ from hearthline.functions.labels import flag, share
 
 
 def dependents_ratio(size: Column, income: Column, variant: str = "train") -> Column:
-    """Members per 10,000 of income. Training caps at 200; serving is null without income."""
+    """Members per 10,000 of income, at most 200; `serve` is null without income."""
     ratio = size / (income / 10000 + fv.EPS)
     if variant == "serve":
-        return F.when(income > 0, ratio)
+        return F.when(income > 0, F.least(ratio, F.lit(fv.DEPENDENTS_RATIO_CAP)))
     return F.when(ratio.isNotNull(), F.least(ratio, F.lit(fv.DEPENDENTS_RATIO_CAP)))
 
 
@@ -57,12 +57,13 @@ def engineer_features(df: DataFrame, variant: str = "totals") -> DataFrame:
         buffer = savings_buffer_months(proxy, expense=F.col("total_expenditure_adjusted"))
     else:
         buffer = savings_buffer_months(proxy, wages=wages)
+    income = F.col("total_income") if variant == "totals" else wages
     engineered = df.withColumns({
-        "dependents_ratio": dependents_ratio(size, wages),
+        "dependents_ratio": dependents_ratio(size, income),
         "savings_buffer_months": buffer,
         "no_insurance_vulnerability": no_insurance_vulnerability(
             F.col("has_health_insurance_hh_any"), F.col("health_to_expense_ratio")),
-        "rural_low_income_flag": rural_low_income_flag(F.col("region_type"), wages),
+        "rural_low_income_flag": rural_low_income_flag(F.col("region_type"), income),
         "emi_health_interaction": emi_health_interaction(
             F.col("emi_to_income_ratio"), F.col("is_hospitalised_hh_any"),
             F.col("is_on_regular_medication_hh_any")),

@@ -34,6 +34,26 @@ def bucket_counts(df: DataFrame, seconds: int, keys: Sequence[str] = ("domain",)
     return df.groupBy(*keys, bucket_start(ts, seconds).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_empty_buckets(counts: DataFrame, seconds: int, keys: Sequence[str] = ("domain",)) -> DataFrame:
+    """`counts` with a row of 0 for every bucket without events, from a key's first bucket to
+    the table's last one, so that an outage is a low count and not a missing row."""
+    last = counts.agg(F.max("bucket").alias("last"))
+    spans = counts.groupBy(*keys).agg(F.min("bucket").alias("first")).crossJoin(F.broadcast(last))  # one row
+    every = spans.select(*keys, F.explode(F.sequence("first", "last", F.lit(seconds).cast("long"))).alias("bucket"))
+    return every.join(counts, [*keys, "bucket"], "left").select(*keys, "bucket", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def with_hold(series: DataFrame, hold: int, keys: Sequence[str] = ("domain",)) -> DataFrame:
+    """Adds `alert`: firing now and in every bucket of the last `hold` seconds before."""
+    order = Window.partitionBy(*keys).orderBy("bucket")
+    quiet = F.last(F.when(~F.col("firing"), F.col("bucket")), ignorenulls=True).over(order)
+    first = F.min("bucket").over(Window.partitionBy(*keys))
+    step = F.col("bucket") - F.lag("bucket").over(order)
+    since = F.col("bucket") - F.coalesce(F.col("_quiet") + F.coalesce("_step", F.lit(0)), F.col("_first"))
+    return series.withColumns({"_quiet": quiet, "_first": first, "_step": step}).withColumn(
+        "alert", F.col("firing") & (since >= hold)).drop("_quiet", "_first", "_step")
+
+
 def rolling_baseline(counts: DataFrame, span: int, keys: Sequence[str] = ("domain",)) -> DataFrame:
     """Mean count of the buckets in the trailing `span` seconds, the current one included."""
     trailing = Window.partitionBy(*keys).orderBy("bucket").rangeBetween(-span, 0)
@@ -45,21 +65,22 @@ def surge(counts: DataFrame, span: int, factor: float, keys: Sequence[str] = ("d
     return based.withColumn("firing", F.col("n") > F.lit(factor).cast("double") * F.col("baseline"))
 
 
-def volume_drop_alert(df: DataFrame, keys: Sequence[str] = ("domain",)) -> DataFrame:
-    """5-minute volume below half its 1-hour average."""
-    based = rolling_baseline(bucket_counts(df, 5 * MINUTE, keys), HOUR, keys)
-    return based.withColumn("firing", F.col("n") < F.lit(0.5).cast("double") * F.col("baseline"))
+def volume_drop_alert(df: DataFrame, keys: Sequence[str] = ("domain",), hold: int = 10 * MINUTE) -> DataFrame:
+    """5-minute volume below half its 1-hour average, an alert once it has been for `hold`."""
+    counts = with_empty_buckets(bucket_counts(df, 5 * MINUTE, keys), 5 * MINUTE, keys)
+    based = rolling_baseline(counts, HOUR, keys)
+    return with_hold(based.withColumn("firing", F.col("n") < F.lit(0.5).cast("double") * F.col("baseline")), hold, keys)
 
 
 def high_stress_surge(df: DataFrame, keys: Sequence[str] = ("domain",), factor: float = 1.2,
-                      threshold: float = 0.5) -> DataFrame:
-    """Hourly high-stress count above `factor` times its 7-day average."""
+                      threshold: float = 0.5, hold: int = 30 * MINUTE) -> DataFrame:
+    """Hourly high-stress count above `factor` times its 7-day average, quiet hours included."""
     high = df.filter(F.col("probability") >= threshold)
-    return surge(bucket_counts(high, HOUR, keys), WEEK, factor, keys)
+    return with_hold(surge(with_empty_buckets(bucket_counts(high, HOUR, keys), HOUR, keys), WEEK, factor, keys), hold, keys)
 
 
-def domain_surge(df: DataFrame, domain: str = "financial_stress", factor: float = 1.3) -> DataFrame:
-    return high_stress_surge(df.filter(F.col("domain") == domain), ("domain",), factor)
+def domain_surge(df: DataFrame, domain: str = "financial_stress", factor: float = 1.3, hold: int = HOUR) -> DataFrame:
+    return high_stress_surge(df.filter(F.col("domain") == domain), ("domain",), factor, hold=hold)
 
 
 def latency_p99_alert(df: DataFrame, seconds: int = 5 * MINUTE, ts: str = "assessed_at",

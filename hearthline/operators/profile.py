@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +39,7 @@ def composite_distribution(df: DataFrame, column: str = fv.COMPOSITE_LABEL,
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("score")).agg(
         F.count(F.lit(1)).alias("n"))
-    total = df.select(F.count(column)).scalar()
-    share = F.col("n") / total
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))  # of at most five rows
     return counts.select("score", "n", share.alias("share"), (share < rare_share).alias("is_rare"))
 
 

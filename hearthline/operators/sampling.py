@@ -80,16 +80,17 @@ def split_counts(df: DataFrame, month: str = "month_slot", cutoff: str = fv.TEMP
 
 
 def temporal_split(df: DataFrame, label: str, keys: Sequence[str], month: str = "month_slot",
-                   cutoff: str = fv.TEMPORAL_CUTOFF, min_train: int = 500,
-                   min_test: int = 50) -> DataFrame:
-    """Adds `split` by month; rows without a month drop out. When either side is too small
-    the split falls back to the stratified 80/20."""
-    sizes = split_counts(df, month, cutoff).first()
-    if sizes.train_rows < min_train or sizes.test_rows < min_test:
-        return stratified_random_split(df, label, keys)
+                   cutoff: str = fv.TEMPORAL_CUTOFF, method: str = "temporal") -> DataFrame:
+    """Adds `split` and `split_method`. By default the month decides and rows without one drop
+    out; `method='stratified'` asks for the stratified 80/20 of all rows instead. Few rows on a
+    side never change the method: callers see them in `split_counts`."""
+    if method == "stratified":
+        return stratified_random_split(df, label, keys).withColumn("split_method", F.lit(method))
+    if method != "temporal":
+        raise ValueError(f"unknown split method {method}")
     edge = F.lit(cutoff).cast("date")
     return df.filter(F.col(month).isNotNull()).withColumn(
-        "split", F.when(F.col(month) < edge, "train").otherwise("test"))
+        "split", F.when(F.col(month) < edge, "train").otherwise("test")).withColumn("split_method", F.lit(method))
 
 
 def uniform(keys: Sequence[str], seed: int | Column) -> Column:

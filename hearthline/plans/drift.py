@@ -10,21 +10,17 @@ from pyspark.sql import functions as F
 from hearthline import fixed_values as fv
 from hearthline.operators.order_stats import long_form, quantile_columns, running_totals
 from hearthline.operators.profile import null_profile
-from hearthline.operators.sampling import row_hash
 from hearthline.session import cut_lineage
 
-LARGE_BASELINE = 1000
 DISTANCE_LIMIT = 0.1
 P_VALUE_LIMIT = 0.05
 MIN_STD = 0.001
 PSI_FLOOR = 0.0001
 
 
-def baseline_sample(df: DataFrame, keys: Sequence[str], label: str = "financial_stress",
-                    rows: int = fv.BASELINE_ROWS, seed: int = 42) -> DataFrame:
-    """The `rows` lowest hashes among labelled rows: a top-k, no full sort."""
-    return (df.filter(F.col(label).isNotNull()).withColumn("_hash", row_hash(keys, seed))
-            .orderBy("_hash", *keys).limit(rows).drop("_hash"))
+def baseline_rows(df: DataFrame, label: str = "financial_stress") -> DataFrame:
+    """The labelled rows: drift is measured against all of them, not against a sample."""
+    return df.filter(F.col(label).isNotNull())
 
 
 def align_columns(baseline: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,14 +29,6 @@ def align_columns(baseline: DataFrame, current: DataFrame) -> tuple[DataFrame, D
     return baseline.select(shared), current.select(shared)
 
 
-def current_or_baseline(baseline: DataFrame, current: DataFrame, keys: Sequence[str],
-                        rows: int = 500) -> DataFrame:
-    """Current rows, or a small baseline sample when there are none."""
-    if not current.isEmpty():
-        return current
-    return baseline.withColumn("_hash", row_hash(keys, 99)).orderBy("_hash", *keys).limit(rows).drop("_hash")
-
-
 def ks_p_value(distance: Column, n: Column, m: Column, terms: int = 30) -> Column:
     """Asymptotic two-sample Kolmogorov-Smirnov p-value."""
     effective = F.sqrt(n * m / (n + m))
@@ -51,12 +39,15 @@ def ks_p_value(distance: Column, n: Column, m: Column, terms: int = 30) -> Colum
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(2 * series, F.lit(0.0)), F.lit(1.0)))
 
 
-def numeric_drift(baseline: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
+def numeric_drift(baseline: DataFrame, current: DataFrame, columns: Sequence[str],
+                  method: str = "wasserstein") -> DataFrame:
     """KS distance, normalised Wasserstein distance and PSI over baseline deciles, per column.
 
-    Both sides collapse to one row per (column, value) before any ordering. Large baselines
-    are judged by the Wasserstein distance, small ones by the KS p-value.
+    Both sides collapse to one row per (column, value) before any ordering. Both measures are
+    returned; `method` ('wasserstein' or 'ks') says which decides `drifted`, whatever the size.
     """
+    if method not in ("wasserstein", "ks"):
+        raise ValueError(f"unknown drift method {method}")
     rows = long_form(baseline, columns).withColumn("b", F.lit(1)).unionByName(
         long_form(current, columns).withColumn("b", F.lit(0))).filter(F.col("value").isNotNull())
     counts = cut_lineage(rows.groupBy("feature", "value").agg(
@@ -88,9 +79,8 @@ def numeric_drift(baseline: DataFrame, current: DataFrame, columns: Sequence[str
     ).select("feature", "s.n_base", "s.n_cur", "s.ks", "psi", (F.col("s._area") / F.col("_std")).alias("wasserstein")
              ).withColumn("ks_p_value", ks_p_value(
                  F.col("ks"), F.col("n_base").cast("double"), F.col("n_cur").cast("double")))
-    drifted = F.when(F.col("n_base") > LARGE_BASELINE, F.col("wasserstein") >= DISTANCE_LIMIT).otherwise(
-        F.col("ks_p_value") < P_VALUE_LIMIT)
-    return scored.withColumn("drifted", F.coalesce(drifted, F.lit(False)))
+    drifted = F.col("wasserstein") >= DISTANCE_LIMIT if method == "wasserstein" else F.col("ks_p_value") < P_VALUE_LIMIT
+    return scored.withColumn("drifted", F.coalesce(drifted, F.lit(False))).withColumn("method", F.lit(method))
 
 
 def categorical_drift(baseline: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -144,9 +134,9 @@ def retrain_decision(share: DataFrame, rate: DataFrame) -> DataFrame:
         "rate_shift", F.abs(F.col("stress_rate") - fv.BASELINE_STRESS_RATE))
     reasons = F.array_compact(F.array(
         F.when(F.col("drift_share") > fv.DRIFT_SHARE_LIMIT,
-               F.format_string("dataset drift %.2f%% > 30%%", F.bround(F.col("drift_share") * 100, 2))),
+               F.format_string(f"dataset drift %.2f%% > {fv.DRIFT_SHARE_LIMIT:.0%}%", F.bround(F.col("drift_share") * 100, 2))),
         F.when(F.col("rate_shift") > fv.RATE_SHIFT_LIMIT,
-               F.format_string("rate shift %.2f%% > 15%%", F.bround(F.col("rate_shift") * 100, 2))),
+               F.format_string(f"stress rate shift %.2f%% > {fv.RATE_SHIFT_LIMIT:.0%}%", F.bround(F.col("rate_shift") * 100, 2))),
     ))
     return decided.withColumn("reasons", F.array_join(reasons, "; ")).withColumn(
         "retrain", F.col("reasons") != "")

@@ -314,4 +314,5 @@ def model_gate(current: DataFrame, candidate: DataFrame, max_drop: float = 0.02)
 
 def split_frame(df: DataFrame, label: str, keys: Sequence[str], cutoff: str) -> tuple[DataFrame, DataFrame]:
     both = temporal_split(drop_null_label(df, label), label, keys, cutoff=cutoff)
+    both = both.drop("split_method")
     return both.filter(F.col("split") == "train"), both.filter(F.col("split") == "test")

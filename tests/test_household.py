@@ -120,3 +120,16 @@ def test_engineered_features(spark):
         ft.recency_weight(F.lit(None).cast("date")).alias("undated")).first()
     assert row.d == pytest.approx(2.0) and row.capped == 200.0 and row.unserved is None
     assert (row.rural, row.sick, row.recent, row.undated) == (1, 0.4, 2.0, 1.0)
+
+
+def test_training_and_scoring_share_one_feature_base(spark):
+    df = spark.createDataFrame([(4, 30000.0, 50000.0, "RURAL"), (3, 10000.0, 20000.0, "RURAL")],
+                               "num_members int, wages double, total_income double, region_type string")
+    row = df.selectExpr("*", "wages AS income_all_members_from_wages", "total_income - 1000 AS savings_proxy",
+                        "1000D AS total_expenditure_adjusted", "0 AS has_health_insurance_hh_any", "0D AS health_to_expense_ratio",
+                        "0D AS emi_to_income_ratio", "0 AS is_hospitalised_hh_any", "0 AS is_on_regular_medication_hh_any")
+    size, income = F.col("num_members"), F.col("total_income")
+    both = ft.engineer_features(row).select(
+        "dependents_ratio", ft.dependents_ratio(size, income, "serve").alias("served"), "rural_low_income_flag",
+        ft.rural_low_income_flag(F.col("region_type"), income).alias("served_flag")).collect()
+    assert all(r.dependents_ratio == r.served and r.rural_low_income_flag == r.served_flag for r in both)

@@ -93,3 +93,23 @@ def test_silence_over_runs(spark, tmp_path):
     table.append(ss.silence_alerts(predictions(spark, path, [(1, "2024-01-01 00:00:00", "d", 0.1, 1.0)]), 30))
     out = table.append(ss.silence_alerts(predictions(spark, path, [(2, "2024-01-01 00:01:00", "d", 0.1, 1.0)]), 30))
     assert [x.gap_seconds for x in out.collect()] == [pytest.approx(60.0)]
+
+
+def test_csv_headers_may_drift(spark, tmp_path):
+    files = {"inc_20200101.csv": "HH_ID,TOT_INC\n1,10\n2,20\n", "inc_20200201.csv": "TOT_INC,HH_ID\n30,3\n",
+             "inc_20200301.csv": "HH_ID,TOT_INC,EXTRA\n4,40,x\n", "inc_20200401.csv": "HH_ID\n5\n"}
+    for name, content in files.items():
+        (tmp_path / name).write_text(content)
+    rows = sorted(tuple(x) for x in r.ingest_raw_csv(spark, str(tmp_path), ["HH_ID", "TOT_INC", "EXTRA"]).collect())
+    assert rows == [("1", "10", None, "20200101"), ("2", "20", None, "20200101"), ("3", "30", None, "20200201"),
+                    ("4", "40", "x", "20200301"), ("5", None, None, "20200401")]
+
+
+def test_archives_with_two_members_lose_nothing(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "inc_20200101.zip", "w") as archive:
+        archive.writestr("a.csv", "HH_ID,TOT_INC\n1,10\n")
+        archive.writestr("b.csv", "TOT_INC,HH_ID\n20,2\n")
+    rows = sorted(tuple(x) for x in r.ingest_raw_zip(spark, str(tmp_path), ["HH_ID", "TOT_INC"]).collect())
+    assert rows == [("1", "10", "20200101"), ("2", "20", "20200101")]

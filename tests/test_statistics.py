@@ -76,11 +76,13 @@ def test_capped_sample(spark):
     assert {r.month_slot: r["count"] for r in out.groupBy("month_slot").count().collect()} == {"a": 50, "b": 10}
 
 
-def test_temporal_split_falls_back_when_small(spark):
+def test_split_method_is_the_callers(spark):
     df = spark.range(100).select(F.col("id"), (F.col("id") % 4 == 0).cast("int").alias("y"),
                                  F.lit("2024-01-01").cast("date").alias("month_slot"))
-    out = {(r.y, r.split): r["count"] for r in sm.temporal_split(df, "y", ["id"]).groupBy("y", "split").count().collect()}
+    out = {(r.y, r.split): r["count"] for r in sm.temporal_split(df, "y", ["id"], method="stratified").groupBy("y", "split").count().collect()}
     assert out == {(0, "test"): 15, (0, "train"): 60, (1, "test"): 5, (1, "train"): 20}
+    few = sm.temporal_split(df.limit(3), "y", ["id"]).select("split", "split_method").distinct().collect()
+    assert [tuple(r) for r in few] == [("test", "temporal")]
 
 
 def brute_force(points, k):
@@ -147,7 +149,7 @@ def test_decision_reasons(spark):
     share = spark.createDataFrame([(0.5,)], "drift_share double")
     rate = spark.createDataFrame([(0.6,)], "stress_rate double")
     row = d.retrain_decision(share, rate).first()
-    assert row.retrain and row.reasons == "dataset drift 50.00% > 30%; rate shift 18.00% > 15%"
+    assert row.retrain and row.reasons == "dataset drift 50.00% > 30%; stress rate shift 18.00% > 15%"
 
 
 def test_silence_and_sustained(spark):
@@ -167,3 +169,15 @@ def test_nan_counts_as_missing(spark):
     assert row.missing == 2 and row.flagged
     empty = null_profile(df.limit(0)).first()
     assert (empty.missing, empty.missing_pct) == (0, 0.0)
+
+
+def test_an_outage_fires_and_becomes_an_alert(spark):
+    from hearthline.operators import alerts as al
+
+    start = 1704067200
+    rows = [(start + 300 * b + k, "d") for b in [*range(11), 16] for k in range(100)]
+    df = spark.createDataFrame(rows, "s long, domain string").selectExpr("timestamp_seconds(s) AS assessed_at", "domain")
+    out = {(r.bucket - start) // 300: (r.n, r.firing, r.alert) for r in al.volume_drop_alert(df).collect()}
+    assert [out[b] for b in (10, 11, 12, 13)] == [
+        (100, False, False), (0, True, False), (0, True, False), (0, True, True)]
+    assert not out[16][1]
