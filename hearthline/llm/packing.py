@@ -34,41 +34,62 @@ from hearthline.session import cut_lineage
 WINDOW = 2048
 END_ID = 1
 #: Recent chunks whose ids a Python worker remembers, twice; a matter of speed only.
-REMEMBERED_CHUNKS = 450_000
+REMEMBERED_CHUNKS = 700_000
 
 STAGED = ("doc_id long, row_id long, doc_tokens long, full_crc array<long>, full_seq long, "
           "tail_len int, tail_crc long, tail binary, wide boolean")
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
+#: Marks that run together before a space, which are one word to the tokenizer.
+MARKS_TOGETHER = (",, ", ",. ", "., ", ".. ")
 
-class ChunkIds(dict):
+
+class ChunkIds:
     """Ids of white-space separated chunks as little-endian 32-bit bytes.
 
     The tokenizer drops white space before merging, so no token spans two chunks, and the ids
-    of a text are those of its chunks one after another.
+    of a text are those of its chunks one after another. A comma or full stop behind a letter
+    or digit is a word of its own to the tokenizer and becomes a chunk; texts where such marks
+    stand behind others are left as they are.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            # letters and one mark behind them are two words to the tokenizer
-            if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
-                ids = self[chunk[:-1]] + self[chunk[-1]]
+        self.uncut: dict[str, bytes] = {}
+
+    def encoded(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: set[str]) -> bool:
+        """Add `chunks`; False if one ends in a mark, so that the next could belong to it.
+        Words of letters are encoded together, as each is a word of its own."""
+        known, older, words = self.known, self.older, []
+        for chunk in chunks:
+            if chunk and not chunk[-1].lower().isalnum() and chunk not in (",", "."):
+                return False
+        for chunk in chunks:
+            if chunk in older:
+                known[chunk] = older[chunk]
+            elif chunk.isalpha():
+                words.append(chunk)
+            else:
+                known[chunk] = self.encoded(chunk)
+        if words:
+            found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            counts = np.bincount(found.word_ids, minlength=len(words))
+            if len(counts) == len(words):
+                data, at = np.array(found.ids, "<u4").tobytes(), 0
+                for word, n in zip(words, (counts * 4).tolist()):
+                    known[word] = data[at:at + n]
+                    at += n
             else:
-                ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= REMEMBERED_CHUNKS:
-            self.older = dict(self)
-            self.clear()
-        self[chunk] = ids
-        return ids
+                known.update((word, self.encoded(word)) for word in words)
+        return True
 
     def of(self, text: str) -> bytes:
         try:  # in this range lower case is one letter for one, whatever the tokenizer does first
@@ -76,9 +97,19 @@ class ChunkIds(dict):
             text = text.lower()
         except UnicodeEncodeError:
             pass
-        if "\n" in text:
-            text = text.replace("\n", " ")
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        text = text.replace("\n", " ") + " "
+        if len(self.known) >= REMEMBERED_CHUNKS:
+            self.older, self.known = self.known, {}
+        if not any(marks in text for marks in MARKS_TOGETHER):
+            chunks = text.replace(", ", " , ").replace(". ", " . ").split(" ")
+            new = set(chunks).difference(self.known)
+            if not new or self.learn(new):
+                return b"".join(map(self.known.__getitem__, chunks))
+        if len(self.uncut) >= REMEMBERED_CHUNKS // 4:
+            self.uncut.clear()
+        chunks = text.split(" ")
+        self.uncut.update((chunk, self.encoded(chunk)) for chunk in set(chunks).difference(self.uncut))
+        return b"".join(map(self.uncut.__getitem__, chunks))
 
 
 _LOADED: dict[str, ChunkIds] = {}
