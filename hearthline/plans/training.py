@@ -27,6 +27,7 @@ from hearthline.operators.profile import category_levels
 from hearthline.operators.sampling import poisson_one, temporal_split, uniform
 from hearthline.session import cut_lineage
 
+#: Levels up to which a column's list is also held by the driver, in `Preparation.levels`; no result uses that copy.
 MAX_MAPPED_LEVELS = 2000
 SCRATCH = ["_x", "_features", "_prediction", "_probability", "_margin"]
 
@@ -43,6 +44,7 @@ class Preparation:
     modes: dict[str, str | None] = field(default_factory=dict)
     levels: dict[str, list[str]] = field(default_factory=dict)
     level_tables: dict[str, DataFrame] = field(default_factory=dict)
+    typical_codes: dict[str, int] = field(default_factory=dict)
 
     @property
     def features(self) -> list[str]:
@@ -52,8 +54,7 @@ class Preparation:
         """The prepared value of a feature's median or most frequent level."""
         if name in self.numeric:
             return (self.medians[name] - self.means[name]) / self.scales[name]
-        levels = self.levels.get(name, [])
-        return float(levels.index(self.modes[name])) if self.modes[name] in levels else -1.0
+        return float(self.typical_codes.get(name, -1))
 
 
 def impute_numeric(df: DataFrame, medians: dict[str, float]) -> DataFrame:
@@ -92,41 +93,38 @@ def fit_preparation(df: DataFrame, numeric: Sequence[str], categorical: Sequence
     stats = filled.agg(
         *[F.avg(c).alias(f"mean_{c}") for c in prep.numeric],
         *[F.stddev_pop(c).alias(f"std_{c}") for c in prep.numeric],
-        *[F.mode(c, True).alias(f"mode_{c}") for c in prep.categorical],
-        *[F.approx_count_distinct(c).alias(f"levels_{c}") for c in prep.categorical]).first().asDict()
+        *[F.mode(c, True).alias(f"mode_{c}") for c in prep.categorical]).first().asDict()
     prep.means = {c: stats[f"mean_{c}"] or 0.0 for c in prep.numeric}
     prep.scales = {c: stats[f"std_{c}"] or 1.0 for c in prep.numeric}
     prep.modes = {c: stats[f"mode_{c}"] for c in prep.categorical}
-    short = [c for c in prep.categorical if stats[f"levels_{c}"] <= MAX_MAPPED_LEVELS]
-    if short:
-        for r in category_levels(df, short).orderBy("feature", "level").collect():
-            prep.levels.setdefault(r.feature, []).append(r.level)
-    for c in prep.categorical:
-        if c not in short:
-            prep.level_tables[c] = ordinal_levels(df, [c]).select(F.col("level").alias(c), "code")
+    if prep.categorical:
+        _fit_levels(df, prep)
     return prep
 
 
+def _fit_levels(df: DataFrame, prep: Preparation) -> None:
+    """One written table of all levels; codes and the code of the most frequent level come from it."""
+    table = cut_lineage(ordinal_levels(df, prep.categorical).select("feature", "level", "code"))
+    prep.level_tables = {c: table.filter(F.col("feature") == c).select(F.col("level").alias(c), "code")
+                         for c in prep.categorical}
+    modes = df.sparkSession.createDataFrame(list(prep.modes.items()), "feature string, level string")
+    prep.typical_codes = {r.feature: r.code for r in table.join(modes, ["feature", "level"]).collect()}
+    short = table.groupBy("feature").agg(F.count("*").alias("n")).filter(F.col("n") <= MAX_MAPPED_LEVELS).drop("n")
+    for r in table.join(short, "feature", "left_semi").orderBy("feature", "code").collect():
+        prep.levels.setdefault(r.feature, []).append(r.level)
+
+
 def prepare(df: DataFrame, prep: Preparation, output: str = "x") -> DataFrame:
-    """Adds the prepared feature array. Short level lists are literal maps; a long one is
-    joined, the planner choosing how."""
+    """Adds the prepared feature array. Level tables of every size are joined, the planner
+    choosing how."""
     df = impute_categorical(df, prep.modes)
-    codes: dict[str, Column] = {}
     for c in prep.categorical:
-        if c in prep.level_tables:
-            code = f"_code_{c}"
-            df = df.join(prep.level_tables[c].withColumnRenamed("code", code), c, "left")
-            codes[c] = F.coalesce(F.col(code).cast("double"), F.lit(-1.0))
-        elif prep.levels.get(c):
-            pairs = F.create_map(*[F.lit(v) for i, level in enumerate(prep.levels[c])
-                                   for v in (level, float(i))])
-            codes[c] = F.coalesce(F.try_element_at(pairs, F.col(c)), F.lit(-1.0))
-        else:
-            codes[c] = F.lit(-1.0)
+        df = df.join(prep.level_tables[c].toDF(f"_level_{c}", f"_code_{c}"), F.col(c) == F.col(f"_level_{c}"), "left")
+    codes = [F.coalesce(F.col(f"_code_{c}").cast("double"), F.lit(-1.0)) for c in prep.categorical]
     numbers = [(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(prep.medians[c]))
                 - F.lit(prep.means[c])) / F.lit(prep.scales[c]) for c in prep.numeric]
-    out = df.withColumn(output, F.array(*numbers, *[codes[c] for c in prep.categorical]))
-    return out.drop(*[f"_code_{c}" for c in prep.level_tables])
+    out = df.withColumn(output, F.array(*numbers, *codes))
+    return out.drop(*[f"_{kind}_{c}" for c in prep.categorical for kind in ("level", "code")])
 
 
 @dataclass
@@ -240,14 +238,22 @@ def top_features(importances: DataFrame, k: int = 10) -> DataFrame:
 def model_metadata(models: Sequence[StressModel], bounds: DataFrame, cutoff: str, version: str, spark) -> DataFrame:
     """One row per model: features, levels, exclusions, threshold, cutoff and input bounds."""
     limits = {r.feature: {"p1": r.p1, "p99": r.p99} for r in bounds.collect()}
-    rows = []
+    rows, levels = [], spark.createDataFrame([], "model string, feature string, level string, code int")
     for m in models:
-        rows.append((m.label, m.prep.features, fv.EXCLUDED_FEATURES.get(m.label, []), json.dumps(m.prep.levels),
+        rows.append((m.label, m.prep.features, fv.EXCLUDED_FEATURES.get(m.label, []),
                      fv.EVALUATION_THRESHOLDS.get(m.label), m.scale_pos_weight, cutoff, version,
                      json.dumps({f: limits[f] for f in m.prep.numeric if f in limits})))
-    return spark.createDataFrame(
-        rows, "model string, features array<string>, excluded array<string>, levels string, threshold double, "
+        for c, table in m.prep.level_tables.items():
+            levels = levels.union(table.select(F.lit(m.label), F.lit(c), F.col(c), F.col("code").cast("int")))
+    lists = levels.groupBy("model", "feature").agg(F.sort_array(F.collect_list(F.struct("code", "level"))).alias("l"))
+    texts = lists.groupBy("model").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(
+        F.struct("feature", F.transform("l", lambda e: e["level"])))))).alias("levels"))
+    fixed = spark.createDataFrame(
+        rows, "model string, features array<string>, excluded array<string>, threshold double, "
               "scale_pos_weight double, train_cutoff string, model_version string, feature_percentiles string")
+    return fixed.join(texts, "model", "left").select(
+        "model", "features", "excluded", F.coalesce("levels", F.lit("{}")).alias("levels"), "threshold",
+        "scale_pos_weight", "train_cutoff", "model_version", "feature_percentiles")
 
 
 def confidence_band(train: DataFrame, rows: DataFrame, label: str, keys: Sequence[str], bags: int = 8,
