@@ -1,7 +1,6 @@
 """Queries for training-set preparation, models and their evaluation.
 
-The demo trains on months before the cutoff with few, shallow trees; rounds and depth are
-arguments, the rows are all of them.
+Models train on all rows of months before the cutoff, with the operators' own rounds, depth and bags.
 """
 
 from pyspark.sql import functions as F
@@ -19,7 +18,6 @@ from hearthline.plans.scoring import batch_score
 from hearthline.session import cut_lineage
 
 ROW = ["household_id", "month_slot"]
-ROUNDS, DEPTH = 5, 3
 
 
 def frame(t):
@@ -193,7 +191,7 @@ def classifier_query(label: str):
     @query(f"train_{label}")
     def run(t):
         train, test = split(t, label)
-        model = tr.train_stress_classifier(train, label, ROW, ROUNDS, DEPTH)
+        model = tr.train_stress_classifier(train, label, ROW)
         return tr.evaluate_binary(model.score(test, "probability"), label, "probability")
 
 
@@ -204,43 +202,43 @@ for stress in fv.STRESS_LABELS:
 @query("train_composite_regressor")
 def train_composite_regressor(t):
     train, test = split(t, fv.COMPOSITE_LABEL)
-    model = tr.train_composite_regressor(train, rounds=ROUNDS, depth=DEPTH)
+    model = tr.train_composite_regressor(train)
     return tr.evaluate_composite(model.score(test, "composite"), "composite")
 
 
 @query("feature_importance")
 def feature_importance(t):
     train, _ = split(t, "financial_stress")
-    model = tr.train_stress_classifier(train, "financial_stress", ROW, ROUNDS, DEPTH)
+    model = tr.train_stress_classifier(train, "financial_stress", ROW)
     return tr.feature_importance(model, t.spark)
 
 
 @query("top_features")
 def top_features(t):
     train, _ = split(t, "food_stress")
-    model = tr.train_stress_classifier(train, "food_stress", ROW, ROUNDS, DEPTH)
+    model = tr.train_stress_classifier(train, "food_stress", ROW)
     return tr.top_features(tr.feature_importance(model, t.spark))
 
 
 @query("model_metadata")
 def model_metadata(t):
     train, _ = split(t, "debt_stress")
-    model = tr.train_stress_classifier(train, "debt_stress", ROW, ROUNDS, DEPTH)
+    model = tr.train_stress_classifier(train, "debt_stress", ROW)
     return tr.model_metadata([model], feature_bounds(train, model.prep.numeric), DEMO_CUTOFF, fv.MODEL_VERSION, t.spark)
 
 
 @query("confidence_band")
 def confidence_band(t):
     train, test = split(t, "health_stress")
-    banded = tr.confidence_band(train, test, "health_stress", ROW, bags=3, rounds=2, depth=2)
+    banded = tr.confidence_band(train, test, "health_stress", ROW)
     return shown(banded, "mean", "std", "confidence")
 
 
 @query("batch_score")
 def score_profiles(t):
     train, _ = split(t, "financial_stress")
-    models = {label: tr.train_stress_classifier(train, label, ROW, 2, 2) for label in fv.STRESS_LABELS}
-    composite = tr.train_composite_regressor(train, rounds=2, depth=2)
+    models = {label: tr.train_stress_classifier(train, label, ROW) for label in fv.STRESS_LABELS}
+    composite = tr.train_composite_regressor(train)
     scored = batch_score(t.profiles, models, composite)
     return shown(scored, *fv.STRESS_LABELS, fv.COMPOSITE_LABEL, "stress_level", "is_stressed",
                  F.array_join("stressed_domains", ",").alias("stressed_domains"))
@@ -249,7 +247,7 @@ def score_profiles(t):
 @query("row_drivers")
 def row_drivers(t):
     train, test = split(t, "debt_stress")
-    model = tr.train_stress_classifier(train, "debt_stress", ROW, 2, 3)
+    model = tr.train_stress_classifier(train, "debt_stress", ROW)
     driven = tr.row_drivers(model, test, ROW)
     sentence = F.transform("drivers", lambda d: tr.driver_sentence(d["feature"], {
         "emi_to_income_ratio": F.lit("EMI share of income")}))

@@ -20,3 +20,23 @@ def test_metadata_and_typical_level_do_not_depend_on_the_number_of_levels(spark,
     bounds = spark.createDataFrame([("n", 0.0, 1.0)], "feature string, p1 double, p99 double")
     row = tr.model_metadata([tr.StressModel("debt_stress", prep, None)], bounds, "2020-01-01", "v", spark).first()
     assert json.loads(row.levels) == {"c": ["a", "b", "c", "d"]}
+
+
+@pytest.mark.parametrize("name", ["top_features", "feature_importance", "model_metadata", "row_drivers", "batch_score",
+                                  "confidence_band", "train_composite_regressor", *[f"train_{c}" for c in fv.STRESS_LABELS]])
+def test_registered_queries_train_with_the_defaults(name, monkeypatch):
+    class Called(Exception):
+        pass
+
+    def instead(f):
+        def stand_in(*args, **kwargs):
+            given = inspect.signature(f).bind(*args, **kwargs).arguments
+            assert not {"rounds", "depth", "bags"} & set(given)
+            raise Called
+        return stand_in
+
+    for f in ("train_stress_classifier", "train_composite_regressor", "confidence_band"):
+        monkeypatch.setattr(tr, f, instead(getattr(tr, f)))
+    monkeypatch.setattr(training, "split", lambda t, label: (None, None))
+    with pytest.raises(Called):
+        load_registry()[name].run(None)
