@@ -272,6 +272,13 @@ def feature_bounds(t):
     return p.feature_bounds(t.household, BOUNDED).select("feature", rounded("p1", 4), rounded("p99", 4))
 
 
+@query("training_feature_bounds")
+def training_feature_bounds(t):
+    """Bounds of every numeric feature that models train on."""
+    return p.feature_bounds(t.household, [c for c in fv.NUMERIC_FEATURES if c in t.household.columns]).select(
+        "feature", rounded("p1", 4), rounded("p99", 4))
+
+
 def _raw_number(c: str) -> str:
     return f"try_cast(trim({c}) AS DOUBLE) = -99"
 

@@ -103,6 +103,44 @@ def retrain_decision(t):
         rounded("drift_share"), rounded("stress_rate"), "reasons", "retrain")
 
 
+#: All columns of the reference monitor, and those above.
+MONITORED = list(dict.fromkeys([*NUMERIC, "income_all_members_from_wages", "emi_to_income_ratio", "health_to_expense_ratio"]))
+ALL_SHARE = f"""SELECT feature, drifted FROM ({" UNION ALL ".join(_ks(c) for c in MONITORED)}) UNION ALL
+    SELECT feature, js_distance >= 0.1 FROM ({" UNION ALL ".join(_js(c) for c in CATEGORICAL)})"""
+
+
+@query("monitored_numeric_drift", over(" UNION ALL ".join(_ks(c) for c in MONITORED), "household"))
+def monitored_numeric_drift(t):
+    return d.numeric_drift(*sides(t), MONITORED).select(
+        "feature", rounded("ks"), rounded("wasserstein"), rounded("psi"), "n_base", "drifted",
+        (F.col("ks_p_value") < d.P_VALUE_LIMIT).alias("drifted_by_ks"))
+
+
+def monitored_share(t):
+    before, after = sides(t)
+    return d.drift_share(d.numeric_drift(before, after, MONITORED), d.categorical_drift(before, after, CATEGORICAL))
+
+
+@query("monitored_drift_share", over(f"""
+    SELECT count(*) AS columns, count(*) FILTER (WHERE drifted) AS drifted_columns,
+           round(avg(drifted::INTEGER), 9) AS drift_share, avg(drifted::INTEGER) > 0.3 AS alert FROM ({ALL_SHARE})""", "household"))
+def monitored_drift_share(t):
+    return monitored_share(t).withColumn("drift_share", F.round("drift_share", 9))
+
+
+@query("monitored_retrain_decision", over(f"""
+    SELECT round(drift_share, 6) AS drift_share, round(stress_rate, 6) AS stress_rate,
+           concat_ws('; ', CASE WHEN drift_share > 0.30 THEN 'dataset drift ' || printf('%.2f', drift_share * 100) || '% > 30%' END,
+               CASE WHEN abs(stress_rate - 0.42) > 0.15 THEN 'stress rate shift ' || printf('%.2f', abs(stress_rate - 0.42) * 100) || '% > 15%' END) AS reasons,
+           drift_share > 0.30 OR abs(stress_rate - 0.42) > 0.15 AS retrain FROM
+    (SELECT avg(drifted::INTEGER) AS drift_share FROM ({ALL_SHARE})),
+    (SELECT avg(CASE WHEN is_stressed THEN 1.0::DOUBLE ELSE 0 END) AS stress_rate FROM assessments
+     WHERE assessed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY)""", "household", "assessments"))
+def monitored_retrain_decision(t):
+    return d.retrain_decision(monitored_share(t), stress_rate(t.assessments, AS_OF)).select(
+        rounded("drift_share"), rounded("stress_rate"), "reasons", "retrain")
+
+
 PREDICTED = ["financial_stress", "food_stress", "debt_stress", "health_stress", "composite_stress_score"]
 
 

@@ -40,3 +40,10 @@ def test_registered_queries_train_with_the_defaults(name, monkeypatch):
     monkeypatch.setattr(training, "split", lambda t, label: (None, None))
     with pytest.raises(Called):
         load_registry()[name].run(None)
+
+
+def test_all_monitored_columns():
+    assert {"income_all_members_from_wages", "emi_to_income_ratio", "food_to_expense_ratio", "health_to_expense_ratio",
+            "savings_proxy"} <= set(drift.MONITORED)
+    assert {"monitored_numeric_drift", "monitored_drift_share", "monitored_retrain_decision",
+            "training_feature_bounds"} <= set(load_registry())
