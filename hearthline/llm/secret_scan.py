@@ -10,7 +10,7 @@ format explains it better, and no worse than the credentials it was learned from
 added. Base spans are never taken back.
 
 The automata are fitted on at most `credential_bound` different values a kind, drawn by hash from
-all documents; scanning runs over whole texts in tasks, without a shuffle.
+all documents; the model of plain tokens counts all of them, as often as they occur. Scanning runs over whole texts in tasks, without a shuffle.
 
 Edge cases: null text is empty and has no spans; without credentials nothing is added; offsets
 count code points, end exclusive; repeated rows and null ids are scanned like others; an empty
@@ -22,14 +22,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hearthline.llm.sampling import bounded_per_class
 from hearthline.llm.shipping import shipped
+from hearthline.session import cut_lineage
 
 #: The fixed patterns: kind, pattern, the group whose length counts, and the least length.
 BASE = [
@@ -44,8 +46,6 @@ COMPILED = [(kind, re.compile(r"[0-9a-f]{16,}" if kind == "hex" else pattern, re
             for kind, pattern, group, least in BASE]
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{12,}")
 PLAIN = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
-#: One plain token in so many, by hash, is drawn to fit the model of plain tokens.
-PLAIN_SHARE = 499
 CREDENTIAL_BOUND = 300
 #: Significance of the compatibility test; smaller merges more.
 ALPHA = 0.05
@@ -68,6 +68,10 @@ def symbols(token: str) -> str:
     return "".join(map(symbol, token))
 
 
+#: `symbol` for all characters of PLAIN.
+SYMBOL_TABLE = {c: symbol(chr(c)) for c in range(128)}
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, order of the kind, end, value) of the fixed patterns, in order."""
     found = []
@@ -191,13 +195,11 @@ def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
 class PlainModel:
     """Symbol pairs of plain tokens, with one count added to each."""
 
-    def __init__(self, words: list[str]):
-        self.pairs: dict[str, int] = {}
+    def __init__(self, pairs: dict[str, int]):
+        self.pairs = pairs
         self.firsts: dict[str, int] = {}
-        for word in map(symbols, words):
-            for a, b in zip("^" + word, word + "$"):
-                self.pairs[a + b] = self.pairs.get(a + b, 0) + 1
-                self.firsts[a] = self.firsts.get(a, 0) + 1
+        for pair, n in pairs.items():
+            self.firsts[pair[0]] = self.firsts.get(pair[0], 0) + n
 
     def score(self, word: str) -> float:
         total = sum(math.log((self.pairs.get(a + b, 0) + 1) / (self.firsts.get(a, 0) + 14))
@@ -222,28 +224,45 @@ class Grammars:
         return self.scored[word]
 
 
+def symbol_pairs(tokens: Counter) -> Counter:
+    """Pairs of neighbouring symbols in counted tokens, their ends included."""
+    words: Counter = Counter()
+    for token, n in tokens.items():
+        words[token.translate(SYMBOL_TABLE)] += n
+    pairs: Counter = Counter()
+    for word, n in words.items():
+        for a, b in zip("^" + word, word + "$"):
+            pairs[a + b] += n
+    return pairs
+
+
 def labelled_values(docs: DataFrame) -> DataFrame:
-    """Different values of the fixed patterns by kind, and a share of plain tokens."""
+    """Different values of the fixed patterns by kind, and all symbol pairs of plain tokens (kind
+    'plain'), with their counts. The alphabet bounds the pairs."""
     def run(batches):
         for batch in batches:
-            out = set()
+            out, tokens = set(), Counter()
             for text in batch["text"]:
                 if not text:
                     continue
-                base = base_spans(text)
-                out.update((KINDS[k], value) for _, k, _, value in base)
-                out.update(("plain", w) for w in PLAIN.findall(text) if zlib.crc32(w.encode()) % PLAIN_SHARE == 0)
-            yield pd.DataFrame(sorted(out), columns=["kind", "value"])
+                out.update((KINDS[k], value) for _, k, _, value in base_spans(text))
+                tokens.update(PLAIN.findall(text))
+            rows = [(kind, value, 1) for kind, value in sorted(out)]
+            rows += [("plain", pair, n) for pair, n in symbol_pairs(tokens).items()]
+            yield pd.DataFrame(rows, columns=["kind", "value", "n"])
 
-    return docs.select("text").mapInPandas(run, "kind string, value string").distinct()
+    found = docs.select("text").mapInPandas(run, "kind string, value string, n long")
+    return cut_lineage(found.groupBy("kind", "value").agg(F.sum("n").alias("n")))
 
 
 def learn(docs: DataFrame, credential_bound: int = CREDENTIAL_BOUND) -> Grammars:
-    rows = bounded_per_class(labelled_values(docs), "kind", credential_bound, key="value").collect()  # bounded
+    found = labelled_values(docs)
+    plain = PlainModel({r["value"]: r["n"] for r in found.filter("kind = 'plain'").collect()})  # at most 12 * 12 pairs
+    credentials = found.filter("kind != 'plain'").select("kind", "value")
+    rows = bounded_per_class(credentials, "kind", credential_bound, key="value").collect()  # bounded
     by_kind: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["kind"], r["value"])):
         by_kind.setdefault(r["kind"], []).append(r["value"])
-    plain = PlainModel(by_kind.pop("plain", []))
     return Grammars({kind: infer(values) for kind, values in by_kind.items()}, plain)
 
 

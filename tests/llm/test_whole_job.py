@@ -2,7 +2,7 @@
 
 import random
 
-from hearthline.llm import line_dedup
+from hearthline.llm import line_dedup, near_dedup, secret_scan
 
 
 def runs_of(line):
