@@ -42,7 +42,7 @@ from hearthline.session import cut_lineage
 WORDS_PER_SHINGLE = 5
 #: Similarity in percent.
 THRESHOLD = 85
-SKETCH, SHARED = 128, 96
+SKETCH, SHARED = 128, 86
 #: Standard errors below the threshold at which an estimate still goes to the exact check.
 SLACK = 5.0
 FREQUENCY_BITS = 17
@@ -264,8 +264,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WO
         if links is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         tried = cut_lineage(pairs)
-        if tried.isEmpty():
-            break
+        if tried.isEmpty():  # the leaders have nobody left to try, other members may
+            continue
         likely = cut_lineage(estimated(tried, classes, threshold))
         found = cut_lineage(verified(likely, docs, threshold, width))
         compared = tried if links is None else cut_lineage(compared.union(tried))

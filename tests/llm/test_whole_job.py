@@ -28,3 +28,24 @@ def test_typos_in_lines_of_words(spark, docs_of):
     missed = sum(2 * i + 1 in kept for i in range(len(pairs)))
     assert all(2 * i in kept for i in range(len(pairs)))
     assert missed <= 4
+
+
+def test_plain_tokens_are_all_counted(docs_of):
+    texts = ["ordinary tokens number1234 appear", None, "ordinary ordinary"]
+    plain = secret_scan.learn(docs_of(list(enumerate(texts)))).plain
+    words = [w for t in texts if t for w in secret_scan.PLAIN.findall(t)]
+    assert sum(n for pair, n in plain.pairs.items() if pair[0] == "^") == len(words) == 6
+    assert plain.pairs["^l"] == 5 and plain.pairs["^h"] == 1 and plain.firsts["d"] == 4
+
+
+def test_pairs_without_the_leader_are_compared(docs_of, monkeypatch):
+    """The first of the list fails the cheap test with both others, which are linked."""
+    asked = []
+    real = near_dedup.apart_pairs
+    monkeypatch.setattr(near_dedup, "apart_pairs", lambda *a: asked.append(1) or real(*a))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words[:12])), (2, " ".join(words)), (3, " ".join([*words, "x"]))]
+    far = [(1, " ".join(words[:12])), (2, "some other text of a few words")]
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(rows)).collect()} == {1: 1, 2: 2, 3: 2}
+    asked.clear()
+    assert {r.component_id for r in near_dedup.near_duplicates(docs_of(far)).collect()} == {1, 2} and asked
