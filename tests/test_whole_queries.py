@@ -47,3 +47,9 @@ def test_all_monitored_columns():
             "savings_proxy"} <= set(drift.MONITORED)
     assert {"monitored_numeric_drift", "monitored_drift_share", "monitored_retrain_decision",
             "training_feature_bounds"} <= set(load_registry())
+
+
+def test_partitions_are_reduced_to_bucket_ends():
+    frames = [pd.DataFrame({"domain": ["d"] * 500, "us": range(i * 500, i * 500 + 500)}) for i in range(4)]
+    out = pd.concat(sessions.bucket_ends(iter(frames), 1000))
+    assert out.values.tolist() == [["d", 0, 999], ["d", 1000, 1999]]
