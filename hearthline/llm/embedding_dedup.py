@@ -4,12 +4,16 @@ Equal vectors are one class. A first neighbour graph comes from several random-h
 vectors are range partitioned by their sign code and one projection, and neighbours are the best
 among those nearby in the order, so crowded codes are cut into blocks like any others. The graph
 is refined by neighbours-of-neighbours joins: at every node its neighbours, and those that have it
-as a neighbour, are compared with each other, and better ones enter the lists of K. An audit
-compares a bounded sample of vectors with all others by brute force; while the recall of links is
-below TARGET, there are further rounds with new orders.
-
-Edges at or above the threshold are links. A list of K links is saturated: there its whole
-connected component takes the place of the list. A component's members are counted by their
+as a neighbour, are compared with each other, and better ones enter the lists: K of any similarity,
+and links up to MOST_LINKS. Orders and sign bits grow with the number of vectors. An audit
+compares a bounded sample of vectors, half of them known to have links, with all others by brute
+force; while the recall of listed links is below TARGET, there are further rounds with new orders,
+and after MOST_ROUNDS an error.
+
+Edges at or above the threshold are links. A list of MOST_LINKS links is full, and its component a
+crowd: every vector whose angle to the crowd's pivot allows a link with some member is compared
+with the members that it could be linked with, in blocks, so crowds lose no link to another
+component. A crowd's members are counted by their
 angle to a pivot: two whose angles add up to no more than the threshold's are linked, two whose
 angles differ by more are not, and only pairs in between are compared. A group of thousands of
 near copies is so counted without its pairs.
@@ -37,7 +41,11 @@ THRESHOLD = 0.95
 NEIGHBOURS = 8
 #: Orders for the first graph, sign bits in a code, and rows in a block of an order.
 ORDERS, BITS, BLOCK = 6, 10, 160
-ROUNDS, MOST_ROUNDS = 1, 4
+ROUNDS, MOST_ROUNDS = 1, 12
+#: Links in a list at which it is full, and pivots that the driver sends out at a time.
+MOST_LINKS, PIVOTS = 64, 2048
+#: Rows in a block of a crowd.
+CROWD_BLOCK = 256
 #: Recall of links at which the audit is content, and vectors it looks at.
 TARGET, AUDITED = 0.98, 400
 #: Degrees in a step of the pivot angles.
@@ -85,17 +93,17 @@ def best_in_block(node: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     return pd.DataFrame({"u": np.repeat(node, k), "v": node[best].ravel(), "sim": np.take_along_axis(sims, best, 1).ravel()})
 
 
-def ordered_neighbours(classes: DataFrame, orders: range, k: int) -> DataFrame:
+def ordered_neighbours(classes: DataFrame, orders: range, k: int, bits: int = BITS) -> DataFrame:
     """The best neighbours of every node among those near it in some random orders."""
     def coded(batches):
         for b in batches:
             for dim, part in b.groupby("dim"):
                 x = units(part["unit"])
                 for order in orders:
-                    planes = np.random.default_rng([order, dim]).standard_normal((dim, BITS + 1))
+                    planes = np.random.default_rng([order, dim]).standard_normal((dim, bits + 1))
                     side = x @ planes
-                    code = (side[:, :BITS] > 0) @ (1 << np.arange(BITS))
-                    yield pd.DataFrame({"order_no": order, "dim": dim, "code": code, "side": side[:, BITS],
+                    code = (side[:, :bits] > 0) @ (1 << np.arange(bits))
+                    yield pd.DataFrame({"order_no": order, "dim": dim, "code": code, "side": side[:, bits],
                                         "node": part["node"].to_numpy(), "unit": part["unit"].to_numpy()})
 
     def compared(batches):
@@ -122,22 +130,28 @@ def ordered_neighbours(classes: DataFrame, orders: range, k: int) -> DataFrame:
     return spread.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInPandas(compared, EDGES)
 
 
-def best_lists(edges: DataFrame, k: int) -> DataFrame:
+def best_lists(edges: DataFrame, k: int, threshold: float, most: int) -> DataFrame:
+    """The k best of every node, and its links beyond them up to `most`."""
     by_sim = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    return (edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-            .withColumn("nth", F.row_number().over(by_sim)).filter(F.col("nth") <= k).drop("nth"))
+    return (edges.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("nth", F.row_number().over(by_sim))
+            .filter((F.col("nth") <= k) | ((F.col("sim") >= threshold) & (F.col("nth") <= most))).drop("nth"))
 
 
-def refined(lists: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def refined(lists: DataFrame, classes: DataFrame, k: int, threshold: float, most: int) -> DataFrame:
     """Edges among the neighbours of each node that are better than what the lists hold."""
+    low = F.when(F.col("n") >= most, F.col("low")).when(
+        F.col("n") >= k, F.least("low", F.lit(threshold - CLOSE))).otherwise(-2.0)
     worst = lists.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low")).select(
-        F.col("u").alias("node"), F.when(F.col("n") >= k, F.col("low")).otherwise(-2.0).alias("low"))
-    drawn = Window.partitionBy("v").orderBy(F.xxhash64("u", "v"))
-    backward = lists.withColumn("nth", F.row_number().over(drawn)).filter(F.col("nth") <= k)
-    around = lists.select(F.col("u").alias("centre"), F.col("v").alias("node")).union(
+        F.col("u").alias("node"), low.alias("low"))
+    best, drawn = Window.partitionBy("u").orderBy(F.desc("sim"), "v"), F.xxhash64("u", "v")
+    forward = lists.withColumn("nth", F.row_number().over(best)).withColumn(
+        "turn", F.row_number().over(Window.partitionBy("u").orderBy(drawn)))
+    forward = forward.filter((F.col("nth") <= k) | (F.col("turn") <= k))
+    backward = lists.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy(drawn))).filter(F.col("nth") <= k)
+    around = forward.select(F.col("u").alias("centre"), F.col("v").alias("node")).union(
         backward.select(F.col("v").alias("centre"), F.col("u").alias("node"))).distinct()
     gathered = (around.join(classes.select("node", "unit"), "node").join(worst, "node")
-                .groupBy("centre").agg(F.collect_list(F.struct("node", "unit", "low")).alias("near")))  # at most 2k
+                .groupBy("centre").agg(F.collect_list(F.struct("node", "unit", "low")).alias("near")))  # at most 3k
 
     def local(batches):
         for b in batches:
@@ -159,10 +173,22 @@ def refined(lists: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return gathered.select("near").mapInPandas(local, EDGES)
 
 
-def audit(classes: DataFrame, lists: DataFrame, threshold: float, sample: int) -> float:
-    """Share of the links of a bounded sample, found by brute force, that the lists lead to:
-    both ends in one component, or a listed edge."""
-    picked = classes.orderBy(F.xxhash64(F.lit("audit"), "node")).limit(sample).select("node", "dim", "unit").collect()
+def full_nodes(lists: DataFrame, threshold: float, most: int) -> DataFrame:
+    return (lists.filter(F.col("sim") >= threshold).groupBy("u").agg(F.count("*").alias("n"))
+            .filter(F.col("n") >= most).select(F.col("u").alias("node")))
+
+
+def audit(classes: DataFrame, lists: DataFrame, threshold: float, sample: int, most: int) -> float:
+    """Share of the links of a bounded sample, found by brute force, that are listed at either end.
+
+    Half of the sample is drawn from vectors with a listed link. Links of full lists are left
+    out; they are found by their crowd. 1.0 where the whole sample has no link."""
+    by_hash = F.xxhash64(F.lit("audit"), "node")
+    linked = lists.filter(F.col("sim") >= threshold).select(F.col("u").alias("node")).distinct()
+    full = full_nodes(lists, threshold, most)
+    drawn = [rows.join(full, "node", "left_anti").orderBy(by_hash).limit(sample // 2).select("node", "dim", "unit")
+             for rows in (classes.join(linked, "node", "left_semi"), classes)]
+    picked = drawn[0].union(drawn[1]).dropDuplicates(["node"]).collect()
     shared = shipped(classes.sparkSession, [(r["node"], r["dim"], bytes(r["unit"])) for r in picked])
 
     def brute(batches):
@@ -178,25 +204,93 @@ def audit(classes: DataFrame, lists: DataFrame, threshold: float, sample: int) -
                     yield pd.DataFrame({"u": ids[j][keep], "v": node[i][keep]})
 
     true = classes.select("node", "dim", "unit").mapInPandas(brute, "u long, v long")
-    component = connected_components(lists.filter(F.col("sim") >= threshold).select("u", "v"))
-    a, b = component.toDF("u", "cu"), component.toDF("v", "cv")
-    found = true.join(a, "u", "left").join(b, "v", "left").agg(
-        F.count("*").alias("n"), F.sum(F.coalesce((F.col("cu") == F.col("cv")).cast("int"), F.lit(0))).alias("hit")).first()
+    true = true.join(full.toDF("v"), "v", "left_anti")
+    near = lists.filter(F.col("sim") >= threshold)
+    listed = near.select("u", "v").union(near.select("v", "u")).distinct().withColumn("hit", F.lit(1))
+    found = true.join(listed, ["u", "v"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hit")).first()
     return found["hit"] / found["n"] if found["n"] else 1.0
 
 
-def neighbour_lists(classes: DataFrame, threshold: float, k: int) -> tuple[DataFrame, float]:
-    lists = cut_lineage(best_lists(ordered_neighbours(classes, range(ORDERS), k), k))
+def neighbour_lists(classes: DataFrame, threshold: float, k: int, most: int) -> tuple[DataFrame, float]:
+    size = max(2, classes.count())
+    bits = max(BITS, math.ceil(math.log2(size / BLOCK)))  # about a block for every code
+    orders = ORDERS + bits - BITS
+    lists = cut_lineage(best_lists(ordered_neighbours(classes, range(orders), k, bits), k, threshold, most))
     done = 0
     while True:
         for _ in range(ROUNDS):
-            lists = cut_lineage(best_lists(lists.union(refined(lists, classes, k)), k))
-        recall = audit(classes, lists, threshold, AUDITED)
+            lists = cut_lineage(best_lists(lists.union(refined(lists, classes, k, threshold, most)), k, threshold, most))
+        recall = audit(classes, lists, threshold, AUDITED, most)
         done += ROUNDS
-        if recall >= TARGET or done >= MOST_ROUNDS:
+        if recall >= TARGET:
             return lists, recall
-        more = ordered_neighbours(classes, range(ORDERS * done, ORDERS * (done + 1)), k)
-        lists = cut_lineage(best_lists(lists.union(more), k))
+        if done >= MOST_ROUNDS:
+            raise RuntimeError(f"recall of links is {recall:.3f} after {done} rounds, below {TARGET}")
+        more = ordered_neighbours(classes, range(orders * done, orders * (done + 1)), k, bits)
+        lists = cut_lineage(best_lists(lists.union(more), k, threshold, most))
+
+
+def crowd_links(classes: DataFrame, components: DataFrame, crowds: DataFrame, threshold: float) -> DataFrame:
+    """a, b: for every crowd and every vector outside that is linked with some member, one such link
+    at least, by comparison with all members that the angles to the pivot allow."""
+    limit = math.degrees(math.acos(threshold)) + CLOSE
+    inside = components.join(crowds, "component", "left_semi").join(classes, "node").select("component", "node", "dim", "unit")
+    pivots = inside.filter("node = component").select("component", F.col("unit").alias("pivot"))
+
+    def angles(batches):
+        for b in batches:
+            chord = np.linalg.norm(units(b["unit"]) - units(b["pivot"]), axis=1)
+            yield pd.DataFrame({"component": b["component"], "node": b["node"], "unit": b["unit"],
+                                "angle": np.degrees(2 * np.arcsin(np.minimum(1.0, chord / 2)))})
+
+    placed = "component long, node long, unit binary, angle double"
+    members = cut_lineage(inside.join(pivots, "component").select("component", "node", "unit", "pivot").mapInPandas(angles, placed))
+    radius = members.groupBy("component").agg(F.max("angle").alias("radius"))
+    centres = cut_lineage(inside.filter("node = component").join(radius, "component").select("component", "dim", "unit", "radius"))
+    outside = classes.join(components, "node", "left").select("node", "dim", "unit", F.coalesce("component", "node").alias("own"))
+    chunks = max(1, math.ceil(centres.count() / PIVOTS))
+    near = None
+    for chunk in range(chunks):
+        some = centres.filter(F.pmod(F.xxhash64("component"), F.lit(chunks)) == chunk).collect()  # about PIVOTS rows
+        shared = shipped(classes.sparkSession, [(r["component"], r["dim"], bytes(r["unit"]), r["radius"]) for r in some])
+
+        def reach(batches, shared=shared):
+            crowd = shared()
+            for b in batches:
+                for dim, part in b.groupby("dim"):
+                    own = [c for c in crowd if c[1] == dim]
+                    if not own:
+                        continue
+                    x, p = units(part["unit"]), units([c[2] for c in own])
+                    name, wide = np.array([c[0] for c in own]), np.array([c[3] for c in own])
+                    angle = np.degrees(np.arccos(np.clip(x @ p.T, -1, 1)))
+                    i, j = np.nonzero((angle <= wide + limit + STEP) & (part["own"].to_numpy()[:, None] != name))
+                    yield pd.DataFrame({"component": name[j], "node": part["node"].to_numpy()[i],
+                                        "unit": part["unit"].to_numpy()[i], "angle": angle[i, j]})
+
+        found = outside.mapInPandas(reach, placed)
+        near = found if near is None else near.union(found)
+
+    def blocks(rows: DataFrame, side: str) -> DataFrame:
+        """Rows of a crowd in blocks, near in angle because they share a step of it."""
+        held = Window.partitionBy("component", "ring").orderBy("node")
+        cut = rows.withColumn("ring", F.floor("angle").cast("long")).withColumn(
+            "block", F.floor((F.row_number().over(held) - 1) / CROWD_BLOCK))
+        return cut.groupBy("component", "ring", "block").agg(F.collect_list(F.struct("node", "unit")).alias(side)).select(
+            "component", F.col("ring").alias(f"{side}_ring"), side)
+
+    both = blocks(cut_lineage(near), "x").join(blocks(members, "y"), "component").filter(
+        F.abs(F.col("x_ring") - F.col("y_ring")) <= math.ceil(limit) + 1)
+
+    def compared(batches):
+        for b in batches:
+            for xs, ys in zip(b["x"], b["y"]):
+                sims = units([r["unit"] for r in xs]) @ units([r["unit"] for r in ys]).T
+                best = sims.argmax(axis=1)
+                hit = np.nonzero(sims[np.arange(len(xs)), best] >= threshold)[0]
+                yield pd.DataFrame({"a": [xs[i]["node"] for i in hit], "b": [ys[best[i]]["node"] for i in hit]}, dtype="int64")
+
+    return both.select("x", "y").mapInPandas(compared, "a long, b long").distinct()
 
 
 def dense_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -245,12 +339,18 @@ def dense_links(members: DataFrame, threshold: float) -> DataFrame:
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row, then the audited recall."""
     members, classes = classes_of(embeddings)
-    lists, recall = neighbour_lists(classes, threshold, neighbours)
+    most = max(neighbours, MOST_LINKS)
+    lists, recall = neighbour_lists(classes, threshold, neighbours, most)
     near = lists.filter(F.col("sim") >= threshold)
     links = cut_lineage(near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
     components = cut_lineage(connected_components(links, "a", "b"))
-    full = near.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= neighbours).select(F.col("u").alias("node"))
-    dense = cut_lineage(components.join(full, "node", "left_semi").select("component").distinct())
+    full = full_nodes(lists, threshold, most)
+    crowds = cut_lineage(components.join(full, "node", "left_semi").select("component").distinct())
+    if not crowds.isEmpty():
+        across = cut_lineage(crowd_links(classes, components, crowds, threshold))
+        components = cut_lineage(connected_components(links.union(across), "a", "b"))
+    long_lists = full_nodes(lists, threshold, neighbours)
+    dense = cut_lineage(components.join(long_lists, "node", "left_semi").select("component").distinct())
     weights = classes.select("node", "weight")
     inside = components.join(dense, "component", "left_semi").join(classes, "node").select("node", "component", "weight", "unit")
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))

@@ -2,7 +2,9 @@
 
 import random
 
-from hearthline.llm import line_dedup, near_dedup, secret_scan
+import numpy as np
+
+from hearthline.llm import embedding_dedup, line_dedup, near_dedup, secret_scan
 
 
 def runs_of(line):
@@ -49,3 +51,19 @@ def test_pairs_without_the_leader_are_compared(docs_of, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(rows)).collect()} == {1: 1, 2: 2, 3: 2}
     asked.clear()
     assert {r.component_id for r in near_dedup.near_duplicates(docs_of(far)).collect()} == {1, 2} and asked
+
+
+def test_links_between_clusters_that_fill_their_lists(spark):
+    rng = np.random.default_rng(5)
+    dim, rows = 16, []
+    for pair in range(3):
+        a, side = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+        for turn in (0.0, 16.0):  # cosine 0.961 between the centres
+            centre = np.cos(np.radians(turn)) * a + np.sin(np.radians(turn)) * side
+            rows += [centre + rng.normal(size=dim) * 0.002 for _ in range((30, 80, 100)[pair])]
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
+    x = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
+    near = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    found = {r.vec_id: r for r in embedding_dedup.near_vectors(df).collect()}
+    assert [found[i].n_links for i in range(len(x))] == near.sum(1).tolist()
+    assert len({r.component_id for r in found.values()}) == 3
