@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import decontamination, embedding_dedup, language, line_dedup, near_dedup, packing, secret_scan, surrogates, toxicity, warc
+from hearthline.llm import (
+    decontamination,
+    divergence,
+    embedding_dedup,
+    language,
+    line_dedup,
+    near_dedup,
+    packing,
+    periodic_runs,
+    secret_scan,
+    surrogates,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,6 +100,19 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op6_warc_index"] = warc.SQL
 
 
+@registered
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.seeded_repeats)
+
+
+@registered
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_source_divergence"] = divergence.SQL
+
+
 @registered
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
