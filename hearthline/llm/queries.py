@@ -12,6 +12,7 @@ from hearthline.llm import (
     embedding_dedup,
     language,
     line_dedup,
+    main_text,
     near_dedup,
     packing,
     periodic_runs,
@@ -100,6 +101,11 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op6_warc_index"] = warc.SQL
 
 
+@registered
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @registered
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.seeded_repeats)
