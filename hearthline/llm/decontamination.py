@@ -58,9 +58,10 @@ def fingerprints(hashes: str, keep: int) -> Column:
 
 
 def winnowed(texts: DataFrame, gram: int, keep: int) -> DataFrame:
-    """Fingerprints of `text`. Words are compared in full lower case here, which may only
-    bring in more candidates than A-Z alone."""
-    return (texts.withColumn("words", words_in(F.lower("text")))
+    """Fingerprints of `text`. Words are compared in full lower case here, character by character,
+    which may only bring in more candidates than A-Z alone. (The one rule that looks at a
+    letter's neighbours, that of the capital sigma, is taken out first.)"""
+    return (texts.withColumn("words", words_in(F.lower(F.replace("text", F.lit("Σ"), F.lit("σ")))))
             .withColumn("hashes", grams("words", gram))
             .withColumn("prints", fingerprints("hashes", keep)).drop("hashes"))
 

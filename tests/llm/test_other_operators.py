@@ -4,6 +4,7 @@ import heapq
 import random
 import re
 
+import duckdb
 import pytest
 from oracle_compare import compare, connect
 
@@ -54,6 +55,19 @@ def test_contamination(spark, docs_of, nasty, no_docs):
     assert decontamination.contamination(no_docs, benchmark).count() == 0
 
 
+def test_capital_sigma_does_not_hide_a_hit(spark, docs_of):
+    """Lower-casing a whole text would write the last sigma of a word by what follows it."""
+    words = [f"{a}{b}ΟΣ" for a in "ΑΒΓΔ" for b in "ΛΜΝΞ"][:13]
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = docs_of([(1, "'".join(words)), (2, "'".join(words[:12])), (3, " ".join(words).lower())])
+    found = {r.doc_id: (r.n_hit, r.contaminated) for r in decontamination.contamination(docs, benchmark).collect()}
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", benchmark)):
+        con.register(name, df.toPandas())
+    expected = {i: (n, c) for i, n, c in con.sql(f"SELECT doc_id, n_hit, contaminated FROM ({decontamination.SQL})").fetchall()}
+    assert found == expected == {1: (13, True), 2: (0, False), 3: (0, False)}
+
+
 def test_stand_ins(spark, docs_of, nasty, no_docs):
     rows = [(1, "Mrs. Ann Smith, +1 (988) 555-2485 or 988-555-2485, Mr Smith, Ann.B.12@Mail8.Example.com 42.144.35.254"),
             (2, "ann.b.12@mail8.example.com; 4111 1111 1111 1111 = 4111111111111111; 123-45-6789; Frau SMITH"),
