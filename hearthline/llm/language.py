@@ -19,7 +19,6 @@ scored like others; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,10 +36,14 @@ HELD_OUT_FOLDS, HELD_OUT_FOLD = 3, 1
 LEAST_COUNT = 6
 UNDETERMINED = "und"
 PAD = b"\n\n\n"
-LETTER = re.compile(r"[^\W\d_]")
 PREDICTIONS = "doc_id long, lang_pred string, score double, bits array<double>"
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter; fractions, superscripts and circled digits are none."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def gram_counts(sample: DataFrame) -> DataFrame:
     """lang, 4-byte gram (big-endian number) and its count."""
     def run(batches):
@@ -147,7 +150,7 @@ def predict_language(docs: DataFrame, labelled_bound: int = LABELLED_BOUND) -> D
         trees = shared()
         for batch in batches:
             texts = list(batch["text"])
-            known = np.array([bool(trees and t and LETTER.search(t)) for t in texts], bool)
+            known = np.array([bool(trees and has_letter(t)) for t in texts], bool)
             names, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
             lengths: list = [None] * len(texts)
             if known.any():

@@ -178,3 +178,7 @@ def test_inferred_automaton_prefers_its_format():
     used = {0} | {t for m in automaton.moves for t, _ in m.values()}
     assert len(used) < 60  # far fewer than the prefix tree's states
     assert automaton.score(secret_scan.symbols("ab999999999999")) >= automaton.least > automaton.score(secret_scan.symbols("zzzzzzzzzzzzzz"))
+
+
+def test_texts_without_letters_are_undetermined():
+    assert [language.has_letter(t) for t in ("½ ² ①", "12 _ !", "", None, "1a", "日", "ª")] == [False] * 4 + [True] * 3
