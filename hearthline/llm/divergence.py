@@ -37,8 +37,9 @@ MOST_TERMS = 200
 BILLION = 1_000_000_000
 #: Distinct terms that a task sums up before it hands them out.
 HELD_TERMS = 200_000
-#: Cells of the matrix (source, term) of one block.
-BLOCK_CELLS = 2_000_000
+#: Cells of the matrix (source, term) of one block; more where a language has so many sources that
+#: a block's pairs would outnumber its cells.
+BLOCK_CELLS = 200_000
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 TRANSLATE = bytes(LOWER[UPPER.index(b)] if b in UPPER else b if b in LOWER or b >= 0x80 else 0x20 for b in range(256))
@@ -140,9 +141,9 @@ def source_divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, m
                    divergence(F.col("p"), F.col("q")).alias("value"))
            .withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= most_terms))
 
-    cells = groups.select("lang", "kept", "sources").distinct().agg(
-        F.max(F.col("kept").cast("double") * F.col("sources"))).first()[0] or 0.0
-    blocks = max(1, int(cells // block_cells) + 1)
+    cells = F.col("kept").cast("double") * F.col("sources")
+    most = F.greatest(F.lit(float(block_cells)), 4.0 * F.col("sources") * F.col("sources"))
+    blocks = int(groups.agg(F.max(F.floor(cells / most))).first()[0] or 0) + 1
     absent = groups.filter("sources > 1").select(
         "lang", "source", F.when(F.col("kept") > 0, per_billion(F.lit(0).cast("long"), F.col("total"), F.col("kept")))
         .otherwise(F.lit(1)).cast("long").alias("p_absent"),
