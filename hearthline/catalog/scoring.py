@@ -158,7 +158,28 @@ def profile_defaults(t):
         "occupation_type_hh_mode", "age_group")
 
 
-@query("batch_postprocess")
+REASONS = {
+    "financial_stress": f"""CASE WHEN low_savings AND financial_stress_flag = 0 THEN 'Savings are only '
+        || printf('%.1f', round_even(({INC} - {EXP}) / {INC} * 100, 1)) || '% of income (< 10%)|' ELSE '' END
+        || coalesce(nullif(concat_ws('|', CASE WHEN {INC} > 0 THEN 'Spending ' || {percent(f'{EXP} / ({INC} + 1e-9)')} || '% of monthly income' END,
+        CASE WHEN {INC} - {EXP} < 2000 THEN 'Near-zero monthly savings' END), ''), '{fv.DEFAULT_REASON}')""",
+    "food_stress": f"""CASE WHEN {EXP} > 0 THEN 'Food is ' || {percent(f'coalesce(monthly_food_expense, 0) / ({EXP} + 1e-9)')}
+        || '% of expenses' ELSE '{fv.DEFAULT_REASON}' END""",
+    "debt_stress": f"""CASE WHEN {INC} > 0 THEN 'EMI is ' || {percent(f'coalesce(monthly_emi, 0) / ({INC} + 1e-9)')}
+        || '% of income' ELSE '{fv.DEFAULT_REASON}' END""",
+    "health_stress": f"'{fv.DEFAULT_REASON}'",
+}
+
+
+@query("batch_postprocess", over(f"""
+    SELECT {KEYS}, CASE WHEN low_savings AND financial_stress_flag = 0 THEN greatest(round_even(financial_stress_adj, 4), 0.4::DOUBLE)
+               ELSE round_even(financial_stress_adj, 4) END AS financial_stress,
+           round_even(food_stress_adj, 4) AS food_stress, round_even(debt_stress_adj, 4) AS debt_stress,
+           CASE WHEN NOT ({GUARD}) THEN round_even(health_stress_adj, 4) END AS health_stress,
+           {", ".join(f"{text} AS {label}_reasons" for label, text in REASONS.items())},
+           least(3, cast(low_savings OR financial_stress_flag = 1 AS INTEGER) + food_stress_flag + debt_stress_flag
+               + CASE WHEN {GUARD} THEN 0 ELSE health_stress_flag END) AS stress_level,
+           '{fv.MODEL_VERSION}' AS model_version FROM {SCORED}""", "profiles"))
 def batch_postprocess(t):
     done = postprocess(with_raw(t))
     return done.select("household_id", text("month_slot"), *fv.STRESS_LABELS,

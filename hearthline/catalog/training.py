@@ -1,8 +1,14 @@
 """Queries for training-set preparation, models and their evaluation.
 
 Models train on all rows of months before the cutoff, with the operators' own rounds, depth and bags.
+Each `train_*` query fits and publishes its model in the shared model folder; queries about a
+model take the published one that was trained on the same rows, or fit and publish it themselves.
+`batch_score` only asks for a model of STARTER_ROUNDS rounds: where none is published, five full
+fits would take longer than anyone waits for scores.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hearthline import fixed_values as fv
@@ -14,10 +20,13 @@ from hearthline.operators import sampling as sm
 from hearthline.operators.neighbours import nearest_neighbours, smote_oversample
 from hearthline.operators.profile import feature_bounds
 from hearthline.plans import training as tr
+from hearthline.plans.model_store import ModelFolder, fingerprint
 from hearthline.plans.scoring import batch_score
-from hearthline.session import cut_lineage
+from hearthline.session import cut_lineage, shared_root
 
 ROW = ["household_id", "month_slot"]
+FULL_ROUNDS, FULL_DEPTH = 300, 6
+STARTER_ROUNDS, STARTER_DEPTH = 20, 4
 
 
 def frame(t):
@@ -29,6 +38,34 @@ def split(t, label: str):
     return tr.split_frame(frame(t), label, ROW, DEMO_CUTOFF)
 
 
+def model_folder(t) -> ModelFolder:
+    return ModelFolder(t.spark, f"{shared_root(t.spark)}/models")
+
+
+def published(t, label: str, train, least_rounds: int):
+    """The model in force for `label`, if it was trained on these rows for so many rounds."""
+    return model_folder(t).load(label, fingerprint(train), least_rounds)
+
+
+def fit(train, label: str, **settings):
+    if label == fv.COMPOSITE_LABEL:
+        return tr.train_composite_regressor(train, **settings)
+    return tr.train_stress_classifier(train, label, ROW, **settings)
+
+
+def fit_and_publish(t, label: str, train, rounds: int = FULL_ROUNDS, depth: int = FULL_DEPTH):
+    """Fits, saves with the bounds of the training rows, puts in force and returns the loaded model."""
+    full = (rounds, depth) == (FULL_ROUNDS, FULL_DEPTH)
+    model = fit(train, label, **({} if full else {"rounds": rounds, "depth": depth}))
+    bounds = feature_bounds(train, model.prep.numeric)
+    return model_folder(t).publish(model, f"{rounds}x{depth}-{uuid.uuid4().hex[:12]}", fingerprint(train), rounds, depth, bounds)
+
+
+def model_of(t, label: str, train):
+    """The full model of `label` for these training rows, published now if it was not before."""
+    return published(t, label, train, FULL_ROUNDS) or fit_and_publish(t, label, train)
+
+
 def shown(df, *columns):
     return df.select("household_id", text("month_slot"), *columns)
 
@@ -191,7 +228,7 @@ def classifier_query(label: str):
     @query(f"train_{label}")
     def run(t):
         train, test = split(t, label)
-        model = tr.train_stress_classifier(train, label, ROW)
+        model = fit_and_publish(t, label, train)
         return tr.evaluate_binary(model.score(test, "probability"), label, "probability")
 
 
@@ -202,28 +239,28 @@ for stress in fv.STRESS_LABELS:
 @query("train_composite_regressor")
 def train_composite_regressor(t):
     train, test = split(t, fv.COMPOSITE_LABEL)
-    model = tr.train_composite_regressor(train)
+    model = fit_and_publish(t, fv.COMPOSITE_LABEL, train)
     return tr.evaluate_composite(model.score(test, "composite"), "composite")
 
 
 @query("feature_importance")
 def feature_importance(t):
     train, _ = split(t, "financial_stress")
-    model = tr.train_stress_classifier(train, "financial_stress", ROW)
+    model = model_of(t, "financial_stress", train)
     return tr.feature_importance(model, t.spark)
 
 
 @query("top_features")
 def top_features(t):
     train, _ = split(t, "food_stress")
-    model = tr.train_stress_classifier(train, "food_stress", ROW)
+    model = model_of(t, "food_stress", train)
     return tr.top_features(tr.feature_importance(model, t.spark))
 
 
 @query("model_metadata")
 def model_metadata(t):
     train, _ = split(t, "debt_stress")
-    model = tr.train_stress_classifier(train, "debt_stress", ROW)
+    model = model_of(t, "debt_stress", train)
     return tr.model_metadata([model], feature_bounds(train, model.prep.numeric), DEMO_CUTOFF, fv.MODEL_VERSION, t.spark)
 
 
@@ -236,22 +273,49 @@ def confidence_band(t):
 
 @query("batch_score")
 def score_profiles(t):
-    train, _ = split(t, "financial_stress")
-    models = {label: tr.train_stress_classifier(train, label, ROW) for label in fv.STRESS_LABELS}
-    composite = tr.train_composite_regressor(train)
-    scored = batch_score(t.profiles, models, composite)
+    """All profiles by the models in force, loaded from the model folder; labels without one get a
+    starter model first."""
+    rows = frame(t)
+    models = {}
+    for label in [*fv.STRESS_LABELS, fv.COMPOSITE_LABEL]:
+        train, _ = tr.split_frame(rows, label, ROW, DEMO_CUTOFF)
+        models[label] = published(t, label, train, STARTER_ROUNDS) or fit_and_publish(
+            t, label, train, STARTER_ROUNDS, STARTER_DEPTH)
+    composite = models.pop(fv.COMPOSITE_LABEL)
+    scored = batch_score(t.profiles, models, composite, explained=True)
     return shown(scored, *fv.STRESS_LABELS, fv.COMPOSITE_LABEL, "stress_level", "is_stressed",
-                 F.array_join("stressed_domains", ",").alias("stressed_domains"))
+                 F.array_join("stressed_domains", ",").alias("stressed_domains"),
+                 F.array_join("input_warnings", "|").alias("input_warnings"),
+                 *[F.array_join(f"{label}_drivers", "|").alias(f"{label}_drivers") for label in fv.STRESS_LABELS])
 
 
 @query("row_drivers")
 def row_drivers(t):
     train, test = split(t, "debt_stress")
-    model = tr.train_stress_classifier(train, "debt_stress", ROW)
-    driven = tr.row_drivers(model, test, ROW)
-    sentence = F.transform("drivers", lambda d: tr.driver_sentence(d["feature"], {
-        "emi_to_income_ratio": F.lit("EMI share of income")}))
-    return shown(driven, F.round("probability", 6).alias("probability"), F.array_join(sentence, "|").alias("drivers"))
+    model = model_of(t, "debt_stress", train)
+    named = tr.row_drivers(model, test, ROW).join(
+        test.select(*ROW, "total_income", "total_expenditure_adjusted", "exp_food_adjusted", "exp_all_emis"), ROW)
+    amounts = [F.coalesce(F.col(c), F.lit(0.0)) for c in (
+        "total_income", "total_expenditure_adjusted", "exp_food_adjusted", "exp_all_emis")]
+    sentence = F.transform("drivers", lambda d: tr.driver_sentence(d["feature"], tr.driver_sentences(*amounts)))
+    return shown(named, F.round("probability", 6).alias("probability"), F.array_join(sentence, "|").alias("drivers"))
+
+
+@query("driver_shares", over(f"""
+    SELECT {KEYS}, 3 AS n_drivers, true AS adds_up, true AS is_probability FROM household
+    WHERE month_slot >= DATE '{DEMO_CUTOFF}' AND debt_stress IS NOT NULL""", "household"))
+def driver_shares(t):
+    """Bias and shares of all features add up to the margin that the saved ensemble itself gives."""
+    train, test = split(t, "debt_stress")
+    model = published(t, "debt_stress", train, STARTER_ROUNDS) or fit_and_publish(
+        t, "debt_stress", train, STARTER_ROUNDS, STARTER_DEPTH)
+    shares = tr.row_shares(model, test, ROW)
+    own = model.score(test, "own").select(*[F.col(k).alias(f"own_{k}") for k in ROW], "own")
+    both = shares.join(own, (F.col("household_id") == F.col("own_household_id")) & (F.col("month_slot") == F.col("own_month_slot")))
+    total = F.aggregate("shares", F.col("bias"), lambda a, v: a + v)
+    return shown(both, F.least(F.lit(3), F.size("shares")).alias("n_drivers"),
+                 (F.abs(total - F.col("margin")) < 1e-9).alias("adds_up"),
+                 (F.abs(F.col("probability") - F.col("own")) < 1e-9).alias("is_probability"))
 
 
 EXPENSES = ["exp_food_adjusted", "exp_all_emis", "exp_health", "exp_education", "exp_recreation"]

@@ -87,9 +87,12 @@ def bounds_check(df: DataFrame, bounds: DataFrame, keys: Sequence[str],
     return long.join(F.broadcast(bounds), "feature").filter(outside)
 
 
+def warning_text(feature: Column, value: Column, low: Column, high: Column) -> Column:
+    return F.format_string("%s=%.2f outside expected range [%.2f, %.2f] (training p1-p99)", feature, value, low, high)
+
+
 def bounds_warning() -> Column:
-    return F.format_string("%s=%.2f outside expected range [%.2f, %.2f] (training p1-p99)",
-                           "feature", "value", "p1", "p99")
+    return warning_text(F.col("feature"), F.col("value"), F.col("p1"), F.col("p99"))
 
 
 def orphan_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

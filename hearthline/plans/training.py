@@ -13,11 +13,12 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthline import fixed_values as fv
 from hearthline.functions.features import recency_weight
+from hearthline.functions.labels import share
 from hearthline.functions.scoring import confidence_of
 from hearthline.operators.cleaning import drop_null_label, model_features
 from hearthline.operators.metrics import auc_roc, classification_report, composite_class, mae_rmse
@@ -25,7 +26,8 @@ from hearthline.operators.neighbours import smote_oversample
 from hearthline.operators.order_stats import long_form, quantiles
 from hearthline.operators.profile import category_levels
 from hearthline.operators.sampling import poisson_one, temporal_split, uniform
-from hearthline.session import cut_lineage
+from hearthline.plans.trees import FlatTrees, explain, read_trees
+from hearthline.session import cut_lineage, shared_dir
 
 #: Levels up to which a column's list is also held by the driver, in `Preparation.levels`; no result uses that copy.
 MAX_MAPPED_LEVELS = 2000
@@ -135,6 +137,16 @@ class StressModel:
     prep: Preparation
     model: GBTClassificationModel | GBTRegressionModel
     scale_pos_weight: float | None = None
+    #: folder of the saved trees, and the p1 and p99 of inputs, of a model that was loaded
+    trees_path: str | None = None
+    bounds: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+    def flat(self, spark: SparkSession) -> FlatTrees:
+        """The trees as arrays, read from where they are saved."""
+        if self.trees_path is None:
+            self.trees_path = shared_dir(spark, "trees")
+            self.model.write().save(self.trees_path)
+        return read_trees(spark, self.trees_path)
 
     def score(self, df: DataFrame, output: str) -> DataFrame:
         vector = prepare(df, self.prep, "_x").withColumn("_features", array_to_vector("_x"))
@@ -279,35 +291,45 @@ def top_k_per_row(pairs: Column, k: int = 3) -> Column:
     return F.transform(F.slice(ranked, 1, k), lambda e: F.struct(e["feature"], e["delta"]))
 
 
+def row_shares(model: StressModel, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`keys`, probability, margin, bias and the share of every feature of the model in the margin."""
+    ready = prepare(rows, model.prep, "_x").select(*keys, "_x")
+    return explain(ready, model.flat(rows.sparkSession), "_x")
+
+
 def row_drivers(model: StressModel, rows: DataFrame, keys: Sequence[str], k: int = 3) -> DataFrame:
-    """The k features whose replacement by their typical value moves a row's score most.
+    """The k features with the largest shares in a row's margin, either way, along the trees' paths."""
+    names = F.array(*map(F.lit, model.prep.features))
+    shares = F.transform("shares", lambda v, i: F.struct(F.get(names, i).alias("feature"), v.alias("delta")))
+    return row_shares(model, rows, keys).select(*keys, "probability", top_k_per_row(shares, k).alias("drivers"))
 
-    Every row is scored once per feature plus once as it is, in one distributed transform.
-    """
-    names = model.prep.features
-    typical = F.array(*[F.lit(float(model.prep.neutral(f))) for f in names])
-    ready = prepare(rows, model.prep, "_x").select(*keys, "_x")
-    variants = ready.withColumn("_i", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1)))).withColumn(
-        "_features", array_to_vector(F.transform("_x", lambda v, i: F.when(
-            i == F.col("_i"), F.element_at(typical, i + 1)).otherwise(v))))
-    scored = model.model.transform(variants).select(
-        *keys, "_i", vector_to_array("_probability")[1].alias("p"))
-    labels = F.array(*map(F.lit, names))
-    gathered = scored.groupBy(*keys).agg(
-        F.max(F.when(F.col("_i") < 0, F.col("p"))).alias("probability"),
-        F.collect_list(F.when(F.col("_i") >= 0, F.struct("_i", "p"))).alias("_v"))
-    deltas = F.transform("_v", lambda e: F.struct(
-        F.element_at(labels, e["_i"] + 1).alias("feature"), (F.col("probability") - e["p"]).alias("delta")))
-    return gathered.select(*keys, "probability", top_k_per_row(deltas, k).alias("drivers"))
+
+def driver_sentences(income: Column, expense: Column, food: Column, emi: Column, members: Column | None = None) -> dict[str, Column]:
+    """What is said of a driver, per feature; null where the sentence needs an answer that is missing."""
+    def money(amount: Column) -> Column:
+        return F.format_string("₹%,.0f", F.bround(amount, 0))
+
+    def of(part: Column, whole: Column) -> Column:
+        return F.format_string("%.0f%%", F.bround(share(part, whole) * 100, 0))
+
+    sentences = {
+        "food_to_expense_ratio": F.concat(F.lit("Food expense is "), of(food, expense), F.lit(" of total spending")),
+        "savings_proxy": F.concat(F.lit("Monthly savings buffer is "), money(income - expense)),
+        "emi_to_income_ratio": F.concat(F.lit("EMI is "), of(emi, income), F.lit(" of income")),
+        "health_to_expense_ratio": F.lit("Health spend is high relative to budget"),
+        "income_all_members_from_wages": F.concat(F.lit("Wage income: "), money(income), F.lit("/month")),
+    }
+    if members is not None:
+        sentences["age_years_hh_mean"] = F.when((members > 0) & (income > 0), F.concat(
+            F.lit("Family of "), members.cast("int").cast("string"), F.lit(" on "), money(income), F.lit("/month")))
+    return sentences
 
 
 def driver_sentence(feature: Column, profile_sentences: dict[str, Column]) -> Column:
     """Readable text for a driver; features without a sentence are named in words."""
-    column = None
-    for name, sentence in profile_sentences.items():
-        column = F.when(feature == name, sentence) if column is None else column.when(feature == name, sentence)
     words = F.concat(F.initcap(F.replace(feature, F.lit("_"), F.lit(" "))), F.lit(" is a key driver"))
-    return words if column is None else column.otherwise(words)
+    said = [F.when(feature == name, sentence) for name, sentence in profile_sentences.items()]
+    return F.coalesce(*said, words)
 
 
 def model_gate(current: DataFrame, candidate: DataFrame, max_drop: float = 0.02) -> DataFrame:

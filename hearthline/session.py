@@ -52,7 +52,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for `purpose` below the cluster's shared checkpoint folder.
+    """A fresh folder for `purpose` below the cluster's shared checkpoint folder."""
+    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; folders of a fixed name there outlive a session.
 
     A local session without the setting gets a temporary folder; a cluster without it
     is an error, because executors could not see one another's files.
@@ -63,7 +68,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="hearthline-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def test_metadata_and_typical_level_do_not_depend_on_the_number_of_levels(spark,
     assert json.loads(row.levels) == {"c": ["a", "b", "c", "d"]}
 
 
-@pytest.mark.parametrize("name", ["top_features", "feature_importance", "model_metadata", "row_drivers", "batch_score",
+@pytest.mark.parametrize("name", ["top_features", "feature_importance", "model_metadata", "row_drivers",
                                   "confidence_band", "train_composite_regressor", *[f"train_{c}" for c in fv.STRESS_LABELS]])
 def test_registered_queries_train_with_the_defaults(name, monkeypatch):
     class Called(Exception):
@@ -38,6 +38,7 @@ def test_registered_queries_train_with_the_defaults(name, monkeypatch):
     for f in ("train_stress_classifier", "train_composite_regressor", "confidence_band"):
         monkeypatch.setattr(tr, f, instead(getattr(tr, f)))
     monkeypatch.setattr(training, "split", lambda t, label: (None, None))
+    monkeypatch.setattr(training, "published", lambda *args: None)
     with pytest.raises(Called):
         load_registry()[name].run(None)
 
