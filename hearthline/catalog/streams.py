@@ -6,12 +6,14 @@ the windows that ended before the last event minus the allowed delay.
 
 from pyspark.sql import functions as F
 
+from hearthline.catalog.alerts import alerting
 from hearthline.catalog.answers import PROFILE
 from hearthline.catalog.oracle_views import over
 from hearthline.catalog.registry import micros, query
 from hearthline.catalog.survey_views import prediction_log_of
 from hearthline.session import shared_dir
 from hearthline.streaming import sessions as ss
+from hearthline.streaming import timers as tm
 from hearthline.streaming import windows as w
 from hearthline.streaming.runtime import StreamTable, stream_folder
 
@@ -137,7 +139,7 @@ def session_profile_state(t):
     folder = shared_dir(t.spark, "answers")
     t.answers.withColumn("part", F.when(F.col("message_id") % 100 < 8, 1).otherwise(2)).write.partitionBy(
         "part").parquet(folder)
-    schema, table = t.answers.schema, StreamTable(t.spark, "profiles")
+    schema, table = t.answers.schema, StreamTable(t.spark, "profiles", timers="processing")
     out = None
     for arrived in ("part=1", "part=[12]"):
         stream = t.spark.readStream.schema(schema).parquet(f"{folder}/{arrived}")
@@ -152,3 +154,40 @@ def session_profile_state(t):
     FROM prediction_log) WHERE epoch_us(assessed_at) - gap_start_us > 3600 * 1000000::BIGINT""", "prediction_log"))
 def stream_silence_detector(t):
     return StreamTable(t.spark, "silence").append(ss.silence_alerts(predictions(t), 3600))
+
+
+@query("stream_silences", """
+    , gaps AS (SELECT user_id, epoch_us(ts) AS last_us, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS next_us FROM events),
+    clock AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600 * 1000000::BIGINT AS watermark_us FROM events)
+    SELECT user_id, 'silent' AS kind, last_us AS gap_start_us, NULL::BIGINT AS gap_end_us, 86400.0::DOUBLE AS gap_seconds
+    FROM gaps, clock WHERE next_us - last_us > 86400 * 1000000::BIGINT OR (next_us IS NULL AND last_us + 86400 * 1000000::BIGINT <= watermark_us)
+    UNION ALL SELECT user_id, 'ended', last_us, next_us, (next_us - last_us) / 1000000.0::DOUBLE
+    FROM gaps WHERE next_us - last_us > 86400 * 1000000::BIGINT""".replace(", gaps AS", "WITH gaps AS", 1))
+def stream_silences(t):
+    """Users without an event for a day: reported when the day is over, also while they stay silent."""
+    events = stream_folder(t.spark, t.sf_dir, "events.parquet", t.table("events").schema)
+    out = StreamTable(t.spark, "silences", timers="event").append(tm.silences(events, 86400, "user_id", "ts"))
+    return out.select(F.col("key").cast("long").alias("user_id"), "kind", "gap_start_us", "gap_end_us", "gap_seconds")
+
+
+def ended(series: str, seconds: int, where: str = "true") -> str:
+    """The buckets of a series that the stream's watermark has closed."""
+    return over(f"""SELECT * FROM ({series}) WHERE (bucket + {seconds}) * 1000000::BIGINT <= (
+        SELECT max(epoch_us(assessed_at)) // 1000 * 1000 FROM prediction_log WHERE {where}) - 600 * 1000000::BIGINT""", "prediction_log")
+
+
+def shown_alerts(out):
+    return out.select(F.col("key").alias("domain"), "bucket", "n", F.round("baseline", 9).alias("baseline"), "firing", "alert")
+
+
+@query("stream_volume_drop_alert", ended(alerting(300, 3600, "n < 0.5 * baseline", 600), 300))
+def stream_volume_drop_alert(t):
+    """Five-minute volume below half its hourly mean for ten minutes, outages included, as time passes."""
+    return shown_alerts(StreamTable(t.spark, "volume-drop", timers="event").append(tm.held_alerts(predictions(t), tm.VOLUME_DROP)))
+
+
+@query("stream_high_stress_surge", ended(alerting(3600, 604800, "n > 1.2 * baseline", 1800, "probability >= 0.5"), 3600, "probability >= 0.5"))
+def stream_high_stress_surge(t):
+    """Hourly high-stress counts above 1.2 times their weekly mean, as time passes."""
+    high = predictions(t).filter(F.col("probability") >= 0.5)
+    return shown_alerts(StreamTable(t.spark, "surge", timers="event").append(tm.held_alerts(high, tm.HIGH_STRESS_SURGE)))

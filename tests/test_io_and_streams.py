@@ -75,7 +75,7 @@ def test_replayed_predictions_count_once(spark, tmp_path):
 
 
 def test_sessions_fill_over_several_runs(spark, tmp_path):
-    path, table = str(tmp_path / "in"), StreamTable(spark, "t")
+    path, table = str(tmp_path / "in"), StreamTable(spark, "t", timers="processing")
 
     def arrive(rows):
         spark.createDataFrame(rows, "session string, message_id long, text string").coalesce(1).write.mode("append").parquet(path)
