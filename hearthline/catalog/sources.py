@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from hearthline.catalog.oracle_views import over
 from hearthline.catalog.registry import query, text
+from hearthline.catalog.survey_views import DEMO_CUTOFF
+from hearthline.plans.household import household_stress_dataset
+from hearthline.plans.household_job import CONSUMPTION, DATASET, INCOME, PEOPLE, HouseholdJob
 from hearthline.session import shared_dir
 from hearthline.sources import raw as r
 from hearthline.sources import sinks as s
@@ -134,3 +137,37 @@ def size_reduction(t):
     SELECT 'lineitem' AS table_name, count(*) AS n_rows, 11 AS n_columns FROM lineitem""")
 def table_shape(t):
     return s.table_shape(t.table("lineitem"), "lineitem")
+
+
+DATASET_SQL = over("""
+    SELECT file_stamp, household_id, cast(month_slot AS VARCHAR) AS month_slot, financial_stress, food_stress, debt_stress,
+           health_stress, composite_stress_score, emi_to_income_ratio, savings_proxy, exp_food_adjusted, age_years_hh_mean,
+           num_members, gender_hh_mode FROM household""", "household")
+
+
+def shown_dataset(df):
+    return df.select("file_stamp", "household_id", text("month_slot"), "financial_stress", "food_stress", "debt_stress",
+                     "health_stress", "composite_stress_score", "emi_to_income_ratio", "savings_proxy", "exp_food_adjusted",
+                     "age_years_hh_mean", "num_members", "gender_hh_mode")
+
+
+@query("household_stress_dataset", DATASET_SQL)
+def stress_dataset_in_one_plan(t):
+    return shown_dataset(household_stress_dataset(t.inc_raw, t.con_raw, t.poi_raw))
+
+
+@query("household_job", DATASET_SQL)
+def household_job(t):
+    """Raw CSV months to the dataset in two runs; the second finds the older months done."""
+    base = shared_dir(t.spark, "household")
+    raw = {INCOME: t.inc_raw, CONSUMPTION: t.con_raw, PEOPLE: t.poi_raw}
+    folders = {unit: f"{base}/raw/{unit}" for unit in raw}
+    job, cutoff = HouseholdJob(t.spark, folders, f"{base}/out"), DEMO_CUTOFF.replace("-", "")
+    done = []
+    for arrived in (F.col("file_stamp") < cutoff, F.col("file_stamp") >= cutoff):
+        for unit, rows in raw.items():
+            rows.filter(arrived).write.mode("append").option("header", True).partitionBy("file_stamp").csv(folders[unit])
+        done.append(set(job.run()[DATASET]))
+    if done[0] & done[1]:
+        raise AssertionError("a month was built twice")
+    return shown_dataset(job.dataset())

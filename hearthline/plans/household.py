@@ -24,7 +24,11 @@ def household_with_totals(inc: DataFrame, con: DataFrame, people: DataFrame,
     return compute_ratios(compute_labels(joined))
 
 
+def stress_dataset(inc: DataFrame, con: DataFrame, people: DataFrame) -> DataFrame:
+    """Clean months to the training dataset: label-defining totals dropped."""
+    return drop_leakage(household_with_totals(inc, con, people))
+
+
 def household_stress_dataset(inc_raw: DataFrame, con_raw: DataFrame, poi_raw: DataFrame) -> DataFrame:
-    """The training dataset: label-defining totals dropped."""
-    people = people_aggregate(clean_poi(poi_raw))
-    return drop_leakage(household_with_totals(clean_inc(inc_raw), clean_con(con_raw), people))
+    """The training dataset from raw surveys, in one plan."""
+    return stress_dataset(clean_inc(inc_raw), clean_con(con_raw), people_aggregate(clean_poi(poi_raw)))
