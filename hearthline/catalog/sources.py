@@ -10,7 +10,7 @@ from hearthline.catalog.oracle_views import over
 from hearthline.catalog.registry import query, text
 from hearthline.catalog.survey_views import DEMO_CUTOFF
 from hearthline.plans.household import household_stress_dataset
-from hearthline.plans.household_job import CONSUMPTION, DATASET, INCOME, PEOPLE, HouseholdJob
+from hearthline.plans.household_job import CONSUMPTION, INCOME, PEOPLE, HouseholdJob
 from hearthline.session import shared_dir
 from hearthline.sources import raw as r
 from hearthline.sources import sinks as s
@@ -158,7 +158,8 @@ def stress_dataset_in_one_plan(t):
 
 @query("household_job", DATASET_SQL)
 def household_job(t):
-    """Raw CSV months to the dataset in two runs; the second finds the older months done."""
+    """Raw CSV months to the dataset in two runs. The second finds the older raw months done; of the
+    dataset it builds the new months, and older ones that new people files belong to."""
     base = shared_dir(t.spark, "household")
     raw = {INCOME: t.inc_raw, CONSUMPTION: t.con_raw, PEOPLE: t.poi_raw}
     folders = {unit: f"{base}/raw/{unit}" for unit in raw}
@@ -166,8 +167,8 @@ def household_job(t):
     done = []
     for arrived in (F.col("file_stamp") < cutoff, F.col("file_stamp") >= cutoff):
         for unit, rows in raw.items():
-            rows.filter(arrived).write.mode("append").option("header", True).partitionBy("file_stamp").csv(folders[unit])
-        done.append(set(job.run()[DATASET]))
+            rows.filter(arrived).repartition("file_stamp").write.mode("append").option("header", True).partitionBy("file_stamp").csv(folders[unit])
+        done.append(set(job.run()[INCOME]))
     if done[0] & done[1]:
-        raise AssertionError("a month was built twice")
+        raise AssertionError("a month was ingested twice")
     return shown_dataset(job.dataset())
