@@ -15,6 +15,7 @@ from hearthline.session import shared_dir
 from hearthline.streaming import sessions as ss
 from hearthline.streaming import timers as tm
 from hearthline.streaming import windows as w
+from hearthline.streaming.bucketed import BucketedTable
 from hearthline.streaming.runtime import StreamTable, stream_folder
 
 DOMAIN = {"purchase": "financial_stress", "view": "food_stress", "click": "debt_stress", "signup": "health_stress"}
@@ -103,9 +104,9 @@ def stream_upsert_assessments(t):
     t.table("events").write.parquet(arrivals)
     rows = stream_folder(t.spark, arrivals, schema=t.table("events").schema, files_per_batch=1).select(
         F.col("user_id").alias("conversation_id"), "value", F.col("ts").alias("assessed_at"))
-    target = shared_dir(t.spark, "assessments")
-    StreamTable(t.spark, "upsert").for_each_batch(rows, w.upsert_into(target))
-    return w.newest_snapshot(t.spark, target).select(
+    table = BucketedTable(t.spark, shared_dir(t.spark, "assessments"), buckets=16)
+    StreamTable(t.spark, "upsert").for_each_batch(rows, table.merge)
+    return table.read().select(
         "conversation_id", micros("assessed_at", "assessed_us"), "value")
 
 

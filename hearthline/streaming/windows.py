@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.sources.sinks import upsert_assessments
-
 DELAY = "10 minutes"
 
 
@@ -65,25 +63,3 @@ def session_durations(stream: DataFrame, key: str = "user_id", gap: str = "30 mi
 def dedup_predictions(stream: DataFrame, key: str = "conversation_id", delay: str = "1 hour") -> DataFrame:
     """First row per conversation within the watermark; replays are harmless."""
     return timed(stream, delay=delay).dropDuplicatesWithinWatermark([key])
-
-
-def upsert_into(path: str):
-    """A foreachBatch step that merges each micro-batch into versioned Parquet snapshots.
-
-    Snapshot n + 1 is written in full before anything points at it, and a replayed batch
-    rewrites the same snapshot, so a lost executor or a restart cannot corrupt the table.
-    """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            existing = batch.limit(0)
-        else:
-            existing = spark.read.parquet(f"{path}/snapshot={batch_id - 1}")
-        upsert_assessments(existing, batch).write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
-    return merge
-
-
-def newest_snapshot(spark, path: str) -> DataFrame:
-    snapshots = spark.read.parquet(path)
-    newest = snapshots.select(F.max("snapshot").alias("newest")).scalar()
-    return snapshots.filter(F.col("snapshot") == newest).drop("snapshot")
