@@ -6,7 +6,10 @@ from hearthline.catalog.oracle_views import over
 from hearthline.catalog.registry import query, rounded
 from hearthline.catalog.survey_views import DEMO_CUTOFF
 from hearthline.operators.assessments import stress_rate
+from hearthline.operators.order_stats import long_form
+from hearthline.operators.sketches import GRID, RANK_ERROR, SketchStore, sketch_drift, sketch_quantiles
 from hearthline.plans import drift as d
+from hearthline.session import shared_dir
 
 NUMERIC = ["savings_proxy", "food_to_expense_ratio", "exp_food_adjusted", "age_years_hh_mean"]
 CATEGORICAL = ["state", "region_type", "occupation_group", "education_group"]
@@ -169,3 +172,39 @@ def align_columns(t):
         F.col("financial_stress_prob").alias("financial_stress"), F.col("food_stress_prob").alias("food_stress"),
         F.col("conversation_id").cast("string").alias("household_id"))
     return d.align_columns(t.household.select("financial_stress", "food_stress", "household_id", "state"), current)[0]
+
+
+def stored_sketches(t):
+    """The survey's months sketched one side after the other, as they would arrive."""
+    store = SketchStore(t.spark, shared_dir(t.spark, "sketches"))
+    for part in sides(t):
+        store.add(part, MONITORED)
+    return store
+
+
+@query("sketched_drift", over(f"""
+    SELECT feature, n_base, true AS near_exact FROM ({" UNION ALL ".join(_ks(c) for c in MONITORED)})""", "household"))
+def sketched_drift(t):
+    """Drift from stored month sketches; the exact distances say whether it is within its stated error."""
+    store = stored_sketches(t)
+    current = F.col("month") >= DEMO_CUTOFF
+    found = sketch_drift(store.merged(~current), store.merged(current))
+    exact = d.numeric_drift(*sides(t), MONITORED).select(F.col("feature").alias("exact_feature"), F.col("ks").alias("exact_ks"))
+    near = F.abs(F.col("ks") - F.col("exact_ks")) <= 2 * RANK_ERROR + 2 / GRID
+    return found.join(exact, F.col("feature") == F.col("exact_feature")).select("feature", "n_base", near.alias("near_exact"))
+
+
+@query("sketched_bounds", over(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS n, true AS p1_near, true AS p99_near FROM household WHERE month_slot IS NOT NULL" for c in MONITORED),
+    "household"))
+def sketched_bounds(t):
+    """p1 and p99 of all months from their sketches, with their exact ranks checked."""
+    bounds = sketch_quantiles(stored_sketches(t).merged(), {"p1": 0.01, "p99": 0.99})
+    rows = long_form(t.household.filter("month_slot is not null"), MONITORED).join(F.broadcast(bounds), "feature")  # one row a feature
+    value, n = F.col("value"), F.count("value")
+
+    def near(name: str, p: float):
+        below, upto = F.count_if(value < F.col(name)) / n, F.count_if(value <= F.col(name)) / n
+        return ((below <= p + 2 * RANK_ERROR) & (upto >= p - 2 * RANK_ERROR)).alias(f"{name}_near")
+
+    return rows.groupBy("feature").agg(F.max("n").alias("n"), near("p1", 0.01), near("p99", 0.99))
