@@ -143,7 +143,8 @@ def rule_reasons(t):
            coalesce(cast(has_bank_account AS INTEGER), 1) AS has_bank_account_hh_any,
            coalesce(cast(has_credit_card AS INTEGER), 0) AS has_credit_card_hh_any,
            coalesce(cast(has_mobile_phone AS INTEGER), 1) AS has_mobile_phone_hh_any,
-           CASE WHEN {INC} > 0 THEN least(coalesce(num_members, 0) / ({INC} / 10000 + 1e-9), 200.0) END AS dependents_ratio,
+           CASE WHEN num_members IS NOT NULL AND monthly_income IS NOT NULL
+                THEN least(num_members / (monthly_income / 10000 + 1e-9), 200.0) END AS dependents_ratio,
            ({INC} - {EXP}) / ({EXP} + 1e-9) AS savings_buffer_months,
            CASE WHEN upper(region_type) IN ('RURAL', 'VILLAGE') AND {INC} < 25000 THEN 1 ELSE 0 END AS rural_low_income_flag,
            coalesce(nullif(gender, ''), 'M') AS gender_hh_mode,

@@ -135,7 +135,8 @@ def confidence_of(std: Column) -> Column:
 def profile_defaults(df: DataFrame) -> DataFrame:
     """Questionnaire profiles to model features, missing answers replaced by defaults.
 
-    The engineered features use the definitions training uses.
+    The engineered features use the definitions training uses; members or income that are not
+    known leave the ratio of dependants unknown on both paths, and an income of 0 caps it.
     """
     def yes(name: str, default: bool) -> Column:
         return F.coalesce(F.col(name), F.lit(default)).cast("int")
@@ -187,7 +188,7 @@ def profile_defaults(df: DataFrame) -> DataFrame:
         "has_credit_card_hh_any": yes("has_credit_card", False),
         "has_demat_account_hh_any": yes("has_demat_account", False),
         "has_mobile_phone_hh_any": yes("has_mobile_phone", True),
-        "dependents_ratio": ft.dependents_ratio(_zero("num_members"), income, "serve"),
+        "dependents_ratio": ft.dependents_ratio(F.col("num_members"), F.col("monthly_income")),
         "savings_buffer_months": ft.savings_buffer_months(income - expense, expense=expense),
         "no_insurance_vulnerability": ft.no_insurance_vulnerability(insured, health_ratio),
         "rural_low_income_flag": ft.rural_low_income_flag(region, income),

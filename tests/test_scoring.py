@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthline import fixed_values as fv
+from hearthline.functions import features as ft
 from hearthline.functions import scoring as sc
 from hearthline.plans.scoring import postprocess
 
@@ -95,3 +96,11 @@ def test_defaults_fill_every_feature(spark):
     assert set(fv.NUMERIC_FEATURES + fv.CATEGORICAL_FEATURES) <= set(row.asDict())
     assert (row.state, row.region_type, row.age_years_hh_mean, row.has_bank_account_hh_any) == ("Maharashtra", "URBAN", 35.0, 1)
     assert row.dependents_ratio is None
+
+
+@pytest.mark.parametrize("members, income, expected", [(4.0, 0.0, 200.0), (4.0, 20000.0, 2.0), (None, 20000.0, None), (4.0, None, None), (0.0, 0.0, 0.0)])
+def test_dependants_agree_in_training_and_scoring(spark, members, income, expected):
+    served = sc.profile_defaults(profiles(spark, dict(name="x", num_members=members, monthly_income=income))).first().dependents_ratio
+    df = spark.createDataFrame([(members, income)], "size double, income double")
+    trained = df.select(ft.dependents_ratio(F.col("size"), F.col("income"))).first()[0]
+    assert served == trained == (None if expected is None else pytest.approx(expected))
