@@ -105,16 +105,17 @@ def nearest_neighbours(points: DataFrame, key: str, vector: str, k: int, pivots:
 
 def smote_oversample(df: DataFrame, label: str, key: str, vector: str, ratio: float = fv.SMOTE_TARGET_RATIO,
                      trigger: float = fv.SMOTE_TRIGGER_RATIO, k: int = fv.SMOTE_NEIGHBOURS,
-                     seed: int = 42) -> DataFrame:
+                     seed: int = 42, carry: Sequence[str] = ()) -> DataFrame:
     """Rows (key, vector, label, synthetic): the input, and, when negatives outnumber
     positives more than `trigger` to one, interpolated positives up to `ratio` x negatives.
 
-    Base rows take turns by hash rank; the neighbour and the position between the two points
+    Columns in `carry` follow, synthetic rows having those of their base row. Base rows take
+    turns by hash rank; the neighbour and the position between the two points
     come from hashes of the row's key and the copy's number.
     """
     base = df.select(F.col(key).cast("string").alias(key),
                      F.transform(F.col(vector), lambda v: v.cast("double")).alias(vector),
-                     F.col(label).cast("int").alias(label), F.lit(False).alias("synthetic"))
+                     F.col(label).cast("int").alias(label), F.lit(False).alias("synthetic"), *carry)
     sizes = df.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).first()
     need = int(sizes.neg * ratio) - sizes.pos
     if sizes.pos < 2 or sizes.neg / sizes.pos <= trigger or need <= 0:
@@ -124,16 +125,16 @@ def smote_oversample(df: DataFrame, label: str, key: str, vector: str, ratio: fl
     turns = hash_rank(minority, [label], [key], seed)
     copies = (F.lit(need // sizes.pos) + (F.col("hash_rank") <= need % sizes.pos).cast("int")).cast("int")
     drawn = (
-        turns.select(key, vector, copies.alias("copies")).filter(F.col("copies") > 0)
+        turns.select(key, vector, *carry, copies.alias("copies")).filter(F.col("copies") > 0)
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         .join(found, key)
         .withColumn("pick", (F.floor(uniform([key, "copy"], seed) * F.size("neighbours")) + 1).cast("int"))
-        .select(key, vector, "copy", F.element_at("neighbours", F.col("pick"))["neighbour_id"].alias("other"),
+        .select(key, vector, *carry, "copy", F.element_at("neighbours", F.col("pick"))["neighbour_id"].alias("other"),
                 uniform([key, "copy"], seed + 1).alias("step"))
     )
     others = minority.select(F.col(key).alias("other"), F.col(vector).alias("_to"))
     made = drawn.join(others, "other").select(
         F.concat_ws("+", F.col(key), F.col("copy").cast("string")).alias(key),
         F.zip_with(F.col(vector), F.col("_to"), lambda a, b: a + F.col("step") * (b - a)).alias(vector),
-        F.lit(1).alias(label), F.lit(True).alias("synthetic"))
+        F.lit(1).alias(label), F.lit(True).alias("synthetic"), *carry)
     return base.unionByName(made)

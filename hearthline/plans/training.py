@@ -175,23 +175,24 @@ def train_stress_classifier(train: DataFrame, label: str, keys: Sequence[str], r
                             depth: int = 6, row_weight: Column | None = None) -> StressModel:
     """Boosted trees for one label, weighted by class balance and recency.
 
-    Rare positives are oversampled on the prepared vectors; synthetic sets carry the class
-    weight only.
+    Rare positives are oversampled on the prepared vectors; oversampled sets have no recency
+    weights. `row_weight`, such as a bootstrap count, holds in either case, and synthetic rows take
+    that of the row they were made from.
     """
     train = drop_null_label(train, label)
     prep = fit_preparation(train, model_features(label, fv.NUMERIC_FEATURES), fv.CATEGORICAL_FEATURES)
     recency = recency_weight(F.col("month_slot")) if "month_slot" in train.columns else F.lit(1.0)
     ready = cut_lineage(_with_key(prepare(train, prep), keys).select(
         "_key", "x", F.col(label).cast("int").alias("label"),
-        (recency * (row_weight if row_weight is not None else F.lit(1.0))).alias("row_weight")))
+        recency.alias("recency"), (row_weight if row_weight is not None else F.lit(1.0)).cast("double").alias("row_weight")))
     sizes = ready.agg(F.count_if(F.col("label") == 0).alias("neg"), F.count_if(F.col("label") == 1).alias("pos")).first()
     scale = round(sizes.neg / max(sizes.pos, 1), 2)
     class_weight = F.when(F.col("label") == 1, F.lit(float(scale) or 1.0)).otherwise(F.lit(1.0))
     if sizes.pos > 1 and scale > fv.SMOTE_TRIGGER_RATIO:
-        ready = smote_oversample(ready, "label", "_key", "x")
-        weighted = ready.withColumn("weight", class_weight)
-    else:
+        ready = smote_oversample(ready, "label", "_key", "x", carry=["row_weight"])
         weighted = ready.withColumn("weight", class_weight * F.col("row_weight"))
+    else:
+        weighted = ready.withColumn("weight", class_weight * F.col("recency") * F.col("row_weight"))
     fit_on = weighted.select(array_to_vector("x").alias("_features"), F.col("label").cast("double").alias("label"), "weight")
     return StressModel(label, prep, _classifier(rounds, depth).fit(fit_on), scale)
 

@@ -58,6 +58,30 @@ def test_bagged_confidence(spark, frame):
     assert row[0] >= 0 and row[1] >= 1
 
 
+def test_row_weights_survive_oversampling(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"h{i}", float(rng.random()), float(i % 3), int(i % 100 == 0)) for i in range(600)]
+    rare = spark.createDataFrame(rows, "household_id string, emi_to_income_ratio double, savings_proxy double, debt_stress int")
+    seen = {}
+
+    class Caught(Exception):
+        pass
+
+    class Fit:
+        def fit(self, df):
+            seen["rows"] = df.collect()
+            raise Caught
+
+    monkeypatch.setattr(tr, "_classifier", lambda rounds, depth: Fit())
+    with pytest.raises(Caught):
+        tr.train_stress_classifier(rare, "debt_stress", ["household_id"], row_weight=F.col("savings_proxy") + 1)
+    positive = [r for r in seen["rows"] if r.label == 1.0]
+    assert len(positive) > 6 and len(seen["rows"]) - len(positive) == 594
+    weights = {round(r.weight, 6) for r in positive}
+    assert weights <= {round(99.0 * k, 6) for k in (1, 2, 3)} and len(weights) == 3
+    assert {r.weight for r in seen["rows"] if r.label == 0.0} == {1.0, 2.0, 3.0}
+
+
 def test_gate(spark):
     old = spark.createDataFrame([("a", 0.90), ("b", 0.90)], "model string, f1_macro double")
     new = spark.createDataFrame([("a", 0.89), ("b", 0.87)], "model string, f1_macro double")
