@@ -47,9 +47,10 @@ SKETCH, SHARED = 128, 86
 SLACK = 5.0
 FREQUENCY_BITS = 17
 STAR_ROUNDS = 2
-#: Of 256 one-bit minima, how many may differ: at similarity 0.85, 19 do on average, with a
-#: standard deviation of 4 to 6 (the smallest sets the test is used on).
-BITS, DIFFERING_BITS = 256, 56
+#: One-bit minima of a set. At similarity 0.85 some MEAN_DIFFERING of them differ at most on average;
+#: the variance depends on the size of the smaller set (VARIANCE and VARIANCE_BY_SIZE, from simulated
+#: pairs of 128 to 3,000 shingles). A pair is let through up to so many deviations above the mean.
+BITS, MEAN_DIFFERING, VARIANCE, VARIANCE_BY_SIZE, DEVIATIONS = 256, 20.0, 17.0, 4400.0, 8.0
 #: Sets smaller than this are not tested by bits.
 LEAST_FOR_BITS = 128
 REMEMBERED_WORDS = 250_000
@@ -179,12 +180,17 @@ def inverted_lists(classes: DataFrame, frequency: np.ndarray, threshold: int) ->
     return entries.join(shared, "value").select("value", "node", F.struct("n", "bits").alias("about"))
 
 
+def most_differing(n):
+    """How many one-bit minima of a linked pair may differ, by the size of the smaller set."""
+    return MEAN_DIFFERING + DEVIATIONS * F.sqrt(VARIANCE + VARIANCE_BY_SIZE / n)
+
+
 def could_link(threshold: int):
     """Sizes allow the similarity, and so do the one-bit minima."""
     def near(x, y):
         differing = reduce(add, [F.bit_count(x["bits"][k].bitwiseXOR(y["bits"][k])) for k in range(BITS // 64)])
-        return sizes_allow(x["n"], y["n"], threshold) & (
-            (F.least(x["n"], y["n"]) < LEAST_FOR_BITS) | (differing <= DIFFERING_BITS))
+        smaller = F.least(x["n"], y["n"])
+        return sizes_allow(x["n"], y["n"], threshold) & ((smaller < LEAST_FOR_BITS) | (differing <= most_differing(smaller)))
     return near
 
 

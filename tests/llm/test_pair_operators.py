@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from hearthline.llm import embedding_dedup, line_dedup, near_dedup
 from hearthline.llm.graph import connected_components
@@ -65,15 +66,20 @@ def test_near_duplicates(docs_of, nasty, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
 
 
-def test_one_bit_minima_let_links_through():
+def test_one_bit_minima_let_links_through(spark):
+    """Far from the limit at every size, for pairs of one size and for sets that hold one another."""
     rng = np.random.default_rng(6)
-    for n in (128, 300, 2000):
-        for _ in range(200):
-            base = rng.integers(0, 2 ** 63, n).astype(np.uint64) * np.uint64(2)
-            keep = int(np.ceil(n * 0.919))
-            a, b = (np.unique(np.concatenate([base[:keep], rng.integers(0, 2 ** 63, n - keep).astype(np.uint64) * np.uint64(2)])) for _ in range(2))
-            x, y = near_dedup.minimum_bits(a), near_dedup.minimum_bits(b)
-            assert sum(((p ^ q) & (2 ** 64 - 1)).bit_count() for p, q in zip(x, y)) <= near_dedup.DIFFERING_BITS
+    sizes = (128, 200, 300, 700, 2000)
+    limits = spark.range(1).select(*[near_dedup.most_differing(F.lit(n)) for n in sizes]).first()
+    for n, limit in zip(sizes, limits):
+        differing = []
+        for i in range(600):
+            u = rng.integers(0, 2 ** 63, 2 * n).astype(np.uint64) * np.uint64(2)
+            shared, larger = int(np.ceil(1.7 * n / 1.85)), int(n / 0.85)
+            a, b = (u[:n], np.concatenate([u[:shared], u[n:2 * n - shared]])) if i % 2 else (u[:n], u[:larger])
+            x, y = near_dedup.minimum_bits(np.unique(a)), near_dedup.minimum_bits(np.unique(b))
+            differing.append(sum(((p ^ q) & (2 ** 64 - 1)).bit_count() for p, q in zip(x, y)))
+        assert np.mean(differing) + 7 * np.std(differing) <= limit and max(differing) <= limit - 2 * np.std(differing)
 
 
 def test_lines(docs_of, nasty, no_docs):
