@@ -75,6 +75,14 @@ def label_prevalence(t):
     return p.label_prevalence(t.household).withColumn("mean", F.round("mean", 6))
 
 
+@query("prevalence_rollup", over(" UNION ALL ".join(
+    f"""SELECT 2 - grouping(state) - grouping(region_type) AS depth, state, region_type, '{c}' AS label, cast(sum({c}) AS BIGINT) AS positives,
+        count({c}) AS n_rows, round(avg({c}), 6) AS mean FROM household GROUP BY ROLLUP (state, region_type)""" for c in fv.STRESS_LABELS),
+    "household"))
+def prevalence_rollup(t):
+    return p.prevalence_rollup(t.household, ["state", "region_type"]).withColumn("mean", F.round("mean", 6))
+
+
 @query("composite_distribution", over("""
     SELECT composite_stress_score AS score, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share,
            count(*) / sum(count(*)) OVER () < 0.01 AS is_rare
@@ -302,6 +310,37 @@ def raw_vs_clean_diff(t):
         "missing_pct_delta", F.round("missing_pct_delta", 9))
 
 
+#: The columns that the given tables' surveys have, raw and clean, and the marker of missing values.
+PLACE_RAW = "file_stamp HH_ID STATE HR DISTRICT REGION_TYPE STRATUM MONTH_SLOT RESPONSE_STATUS".split()
+PLACE = "file_stamp household_id state homogeneous_region district region_type stratum month_slot".split()
+CON_RAW = [*PLACE_RAW, "MONTH", *[c for c in fv.CON_COLUMNS if fv.CON_COLUMNS[c] in (
+    "total_expenditure_adjusted", "exp_food_adjusted", "exp_restaurants_adjusted", "exp_recreation", "exp_education", "exp_health",
+    "exp_all_emis", "exp_vacation")]]
+CON_CLEAN = [*PLACE, "reference_month", *[fv.CON_COLUMNS[c] for c in CON_RAW[len(PLACE_RAW) + 1:]]]
+NOT_GIVEN = {"relation_with_head_of_household", "religion", "caste", "caste_category"}
+POI_RAW = ["file_stamp", *[c for c, name in fv.POI_COLUMNS.items() if name not in NOT_GIVEN]]
+POI_CLEAN = ["file_stamp", *[c for c in fv.POI_KEEP if c not in NOT_GIVEN]]
+SURVEYS = {"INC": ("inc", INC_RAW, INC_CLEAN, "-99"), "CON": ("con", CON_RAW, CON_CLEAN, "-99"), "POI": ("poi", POI_RAW, POI_CLEAN, "-100")}
+
+
+def _cells(view: str, columns: list[str], sentinel: str) -> str:
+    marked = " + ".join(f"count(*) FILTER (WHERE try_cast(trim(cast({c} AS VARCHAR)) AS DOUBLE) = {sentinel})" for c in columns)
+    return f"(SELECT count(*) AS n, {' + '.join(f'(count(*) - count({c}))' for c in columns)} AS missing, {marked} AS marked FROM {view})"
+
+
+@query("raw_vs_clean_all", over(" UNION ALL ".join(f"""
+    SELECT '{name}' AS dataset, r.n AS raw_rows, c.n AS clean_rows, c.n - r.n AS row_delta, {len(clean) - len(raw)} AS column_delta,
+           round(c.missing * 100.0::DOUBLE / (c.n * {len(clean)}) - r.missing * 100.0::DOUBLE / (r.n * {len(raw)}), 9) AS missing_pct_delta,
+           r.marked - c.marked AS sentinels_removed
+    FROM {_cells(f"{view}_raw", raw, sentinel)} r, {_cells(view, clean, sentinel)} c"""
+    for name, (view, raw, clean, sentinel) in SURVEYS.items()), "inc", "con", "poi"))
+def raw_vs_clean_all(t):
+    """What cleaning changed in each of the three surveys; money is marked by -99, ages by -100."""
+    tables = {"INC": (t.inc_raw, t.inc), "CON": (t.con_raw, t.con), "POI": (t.poi_raw, t.poi)}
+    parts = [p.raw_vs_clean_diff(*tables[name], name, float(SURVEYS[name][3])) for name in SURVEYS]
+    return parts[0].union(parts[1]).union(parts[2]).withColumn("missing_pct_delta", F.round("missing_pct_delta", 9))
+
+
 def scorecard(t):
     return p.quality_scorecard({
         "income rows present": (t.inc, F.count(F.lit(1)) > 0),

@@ -166,12 +166,19 @@ def baseline_rows(t):
 
 
 @query("align_columns", over("""
-    SELECT financial_stress, food_stress, household_id FROM household""", "household"))
+    SELECT 'baseline' AS side, financial_stress::DOUBLE AS financial_stress, food_stress::DOUBLE AS food_stress, household_id FROM household
+    UNION ALL SELECT 'current', financial_stress_prob, food_stress_prob, cast(conversation_id AS VARCHAR) FROM assessments""",
+    "household", "assessments"))
 def align_columns(t):
+    """Both sides on the columns they share, the baseline's order first."""
     current = t.assessments.select(
-        F.col("financial_stress_prob").alias("financial_stress"), F.col("food_stress_prob").alias("food_stress"),
-        F.col("conversation_id").cast("string").alias("household_id"))
-    return d.align_columns(t.household.select("financial_stress", "food_stress", "household_id", "state"), current)[0]
+        F.col("conversation_id").cast("string").alias("household_id"), F.lit("extra").alias("only_here"),
+        F.col("financial_stress_prob").alias("financial_stress"), F.col("food_stress_prob").alias("food_stress"))
+    before = t.household.select(F.col("financial_stress").cast("double").alias("financial_stress"),
+                                F.col("food_stress").cast("double").alias("food_stress"), "household_id", "state")
+    aligned = zip(("baseline", "current"), d.align_columns(before, current))
+    one, other = [df.select(F.lit(side).alias("side"), *df.columns) for side, df in aligned]
+    return one.union(other)
 
 
 def stored_sketches(t):

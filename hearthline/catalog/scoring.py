@@ -71,15 +71,12 @@ def health_guard(t):
 @query("financial_override", over(f"""
     SELECT {KEYS}, low_savings AND financial_stress_flag = 0 AS overridden,
            CASE WHEN low_savings THEN 1 ELSE financial_stress_flag END AS flag,
-           round(CASE WHEN low_savings AND financial_stress_flag = 0 THEN greatest(financial_stress_adj, 0.4::DOUBLE)
-                ELSE financial_stress_adj END, 3) AS probability FROM {SCORED}""", "profiles"))
+           CASE WHEN low_savings AND financial_stress_flag = 0 THEN greatest(round_even(financial_stress_adj, 4), 0.4::DOUBLE)
+                ELSE round_even(financial_stress_adj, 4) END AS probability FROM {SCORED}""", "profiles"))
 def financial_override(t):
     return postprocess(with_raw(t)).select(
         "household_id", text("month_slot"), F.col("financial_stress_override").alias("overridden"),
-        F.col("financial_stress_binary").alias("flag"), F.round(
-            F.when(F.col("financial_stress_override"), F.greatest(
-                sc.geo_adjust(F.col("financial_stress_raw"), F.col("state")), F.lit(0.4)))
-            .otherwise(sc.geo_adjust(F.col("financial_stress_raw"), F.col("state"))), 3).alias("probability"))
+        F.col("financial_stress_binary").alias("flag"), F.col("financial_stress").alias("probability"))
 
 
 @query("stress_summary", over(f"""

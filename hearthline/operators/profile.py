@@ -31,6 +31,17 @@ def label_prevalence(df: DataFrame, labels: Sequence[str] = tuple(fv.STRESS_LABE
         for c in names]))
 
 
+def prevalence_rollup(df: DataFrame, groups: Sequence[str], labels: Sequence[str] = tuple(fv.STRESS_LABELS)) -> DataFrame:
+    """Prevalence per label at every level of `groups`, from one pass: the whole table, the first
+    group, the first two and so on. `depth` says how many groups a row stands for; those beyond are null."""
+    counted = df.rollup(*groups).agg(
+        (F.lit(len(groups)) - sum((F.grouping(g).cast("int") for g in groups), F.lit(0))).alias("depth"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"s_{c}") for c in labels], *[F.count(c).alias(f"n_{c}") for c in labels])
+    return counted.select("depth", *groups, _rows([
+        F.struct(F.lit(c).alias("label"), F.col(f"s_{c}").cast("long").alias("positives"), F.col(f"n_{c}").alias("n_rows"),
+                 F.try_divide(F.col(f"s_{c}").cast("double"), F.col(f"n_{c}")).alias("mean")) for c in labels]))
+
+
 def composite_distribution(df: DataFrame, column: str = fv.COMPOSITE_LABEL,
                            rare_share: float = 0.01) -> DataFrame:
     """Rows and share per composite score, with a flag for rare classes.
@@ -131,10 +142,10 @@ def profile_row(df: DataFrame, dataset: str, sentinel: float = fv.MONEY_SENTINEL
                   sentinels.alias("sentinel_cells"))
 
 
-def raw_vs_clean_diff(raw: DataFrame, clean: DataFrame, dataset: str) -> DataFrame:
-    """What cleaning changed: rows, columns, missing share and sentinels."""
-    before = profile_row(raw, dataset).alias("b")
-    after = profile_row(clean, dataset).alias("a")
+def raw_vs_clean_diff(raw: DataFrame, clean: DataFrame, dataset: str, sentinel: float = fv.MONEY_SENTINEL) -> DataFrame:
+    """What cleaning changed: rows, columns, missing share and sentinels. One scan a table."""
+    before = profile_row(raw, dataset, sentinel).alias("b")
+    after = profile_row(clean, dataset, sentinel).alias("a")
 
     def pct(side: str) -> Column:
         return F.coalesce(F.try_divide(
@@ -152,10 +163,18 @@ def raw_vs_clean_diff(raw: DataFrame, clean: DataFrame, dataset: str) -> DataFra
 
 
 def quality_scorecard(checks: Mapping[str, tuple[DataFrame, Column]]) -> DataFrame:
-    """Named data checks: each an aggregate condition over a table, true or false."""
-    parts = [df.agg(F.coalesce(condition, F.lit(False)).alias("passed"))
-             .select(F.lit(name).alias("check_name"), "passed")
-             for name, (df, condition) in checks.items()]
+    """Named data checks: each an aggregate condition over a table, true or false.
+
+    All checks of one table (the same DataFrame) are aggregates of one scan.
+    """
+    tables: dict[int, tuple[DataFrame, list[tuple[str, Column]]]] = {}
+    for name, (df, condition) in checks.items():
+        tables.setdefault(id(df), (df, []))[1].append((name, condition))
+    parts = []
+    for df, own in tables.values():
+        found = df.agg(*[F.coalesce(condition, F.lit(False)).alias(f"c{i}") for i, (_, condition) in enumerate(own)])
+        parts.append(found.select(_rows([
+            F.struct(F.lit(name).alias("check_name"), F.col(f"c{i}").alias("passed")) for i, (name, _) in enumerate(own)])))
     return reduce(DataFrame.union, parts)
 
 

@@ -6,6 +6,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from hearthline.operators import metrics as m
+from hearthline.operators import profile
 from hearthline.operators import sampling as sm
 from hearthline.operators.alerts import silence_detector, sustained_condition
 from hearthline.operators.neighbours import nearest_neighbours, smote_oversample
@@ -181,3 +182,28 @@ def test_an_outage_fires_and_becomes_an_alert(spark):
     assert [out[b] for b in (10, 11, 12, 13)] == [
         (100, False, False), (0, True, False), (0, True, False), (0, True, True)]
     assert not out[16][1]
+
+
+def test_prevalence_at_every_level(spark):
+    rows = [("a", "x", 1), ("a", "y", 0), ("b", None, 1), ("b", None, None)]
+    df = spark.createDataFrame(rows, "state string, region string, l int")
+    found = {(r.depth, r.state, r.region): (r.positives, r.n_rows, r["mean"]) for r in
+             profile.prevalence_rollup(df, ["state", "region"], ["l"]).collect()}
+    assert found == {(0, None, None): (2, 3, 2 / 3), (1, "a", None): (1, 2, 0.5), (1, "b", None): (1, 1, 1.0),
+                     (2, "a", "x"): (1, 1, 1.0), (2, "a", "y"): (0, 1, 0.0), (2, "b", None): (1, 1, 1.0)}
+    assert profile.prevalence_rollup(df.limit(0), ["state"], ["l"]).filter("depth > 0").count() == 0
+
+
+def test_scorecard_reads_a_table_once(spark):
+    one, two = spark.range(10), spark.range(5)
+    checks = {"a": (one, F.count("id") == 10), "b": (two, F.max("id") > 4), "c": (one, F.min("id") == 1), "d": (two, F.max(F.lit(None)) > 1)}
+    card = profile.quality_scorecard(checks)
+    assert {r.check_name: r.passed for r in card.collect()} == {"a": True, "b": False, "c": False, "d": False}
+    assert card._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2
+
+
+def test_raw_against_clean_with_the_age_marker(spark):
+    raw = spark.createDataFrame([("1", "-100"), ("2", "30")], "HH_ID string, AGE_YRS string")
+    clean = spark.createDataFrame([("1", None), ("2", 30.0)], "household_id string, age_years double")
+    row = profile.raw_vs_clean_diff(raw, clean, "POI", -100.0).first()
+    assert (row.row_delta, row.sentinels_removed, row.missing_pct_delta) == (0, 1, 25.0)
