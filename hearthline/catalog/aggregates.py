@@ -280,7 +280,9 @@ def feature_bounds(t):
     return p.feature_bounds(t.household, BOUNDED).select("feature", rounded("p1", 4), rounded("p99", 4))
 
 
-@query("training_feature_bounds")
+@query("training_feature_bounds", over(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.01), 4) AS p1, round(quantile_cont({c}, 0.99), 4) AS p99 "
+    f"FROM household HAVING count({c}) > 0" for c in fv.NUMERIC_FEATURES), "household"))
 def training_feature_bounds(t):
     """Bounds of every numeric feature that models train on."""
     return p.feature_bounds(t.household, [c for c in fv.NUMERIC_FEATURES if c in t.household.columns]).select(

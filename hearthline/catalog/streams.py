@@ -68,7 +68,12 @@ def stream_latency_p99(t):
     return out.select(start_seconds(out), "n", "severity")
 
 
-@query("stream_trailing_counts")
+@query("stream_trailing_counts", over("""
+    SELECT (start_s + 3600) * 1000000 AS window_end_us, domain, count(*) AS n FROM (
+    SELECT domain, unnest(generate_series(slide - 3300, slide, 300)) AS start_s FROM (
+        SELECT domain, cast(floor(epoch_us(assessed_at) / 1000000) AS BIGINT) // 300 * 300 AS slide FROM prediction_log))
+    WHERE (start_s + 3600) * 1000000 <= (SELECT max(epoch_us(assessed_at)) // 1000 * 1000 FROM prediction_log) - 600 * 1000000::BIGINT
+    GROUP BY 1, 2""", "prediction_log"))
 def stream_trailing_counts(t):
     return StreamTable(t.spark, "trailing").append(w.trailing_counts(predictions(t))).select(
         micros("window_end", "window_end_us"), "domain", "n")
