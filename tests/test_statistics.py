@@ -93,6 +93,33 @@ def brute_force(points, k):
     return np.sort(distance, axis=1)[:, :k]
 
 
+def test_copies_of_a_vector_are_bounded_in_large_tables():
+    from hearthline.operators.neighbours import BLOCKS, MOST_ROWS, rows_of_block
+
+    assert rows_of_block(256, 1000) == 256
+    assert 1_000_000 / rows_of_block(256, 1_000_000) <= BLOCKS
+    assert rows_of_block(256, 10 ** 9) == MOST_ROWS
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1.0, 1e6), (1e-3, 0.0), (1e8, 3.0)])
+def test_matrix_products_choose_the_neighbours_that_distances_choose(scale, shift):
+    import pandas as pd
+
+    from hearthline.operators.neighbours import _closest
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 12)) * scale + shift
+    x[50:120], x[120:140], x[140, 3], x[141, 3] = x[5], x[5] + scale * 1e-7, np.nan, np.inf
+    frame = pd.DataFrame({"id": [str(i) for i in range(300)], "vector": list(x), "reach": [0.5 * scale] * 30 + [np.nan] * 270})
+    expected = []
+    for i in range(300):
+        distance = np.sqrt(((x[i] - x) ** 2).sum(axis=1))
+        distance[i] = np.inf
+        best = np.lexsort((frame["id"], distance))[:4]
+        expected += [(str(i), str(j), distance[j]) for j in best if np.isfinite(distance[j]) and (i >= 30 or distance[j] <= 0.5 * scale)]
+    assert list(_closest(frame, frame, 4).itertuples(index=False, name=None)) == expected
+
+
 def test_neighbours_are_exact_even_with_many_copies(spark):
     rng = np.random.default_rng(5)
     points = [(i, rng.normal(size=4).tolist()) for i in range(200)] + [(i, [0.1, 0.2, 0.3, 0.4]) for i in range(200, 300)]
