@@ -104,6 +104,48 @@ def test_replays_use_up_no_step_and_finished_sessions_leave_the_state(spark, tmp
     assert held(spark, tmp_path, "answers") == 1
 
 
+def test_a_session_takes_few_calls_of_the_state_store():
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.held = name, []
+
+        def __getattr__(self, method):
+            def call(*values):
+                calls.append((self.name, method))
+                if method == "get":
+                    return iter(self.held)
+                if method in ("appendList", "put", "clear"):
+                    self.held = (self.held if method == "appendList" else []) + (values[0] if values else [])
+                return False
+            return call
+
+    class Handle:
+        def getListState(self, name, *_):
+            return State(name)
+
+        getValueState = getMapState = getListState
+
+    class Clock:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.now
+
+    def arrive(messages, now):
+        calls.clear()
+        return list(session.handleInputRows(("s",), iter([{"message_id": i, "text": str(i)} for i in messages]), Clock(now)))
+
+    session = ss.SessionAnswers(timedelta(milliseconds=100), timedelta(days=7))
+    session.init(Handle())
+    assert arrive(range(1, 9), 0) == [] and len(calls) <= 3
+    assert arrive([1, 9], 60) == [] and len(calls) <= 3 and len(session.answers.held) == 9
+    assert arrive([10], 120) == [] and sorted(m for m, _, _ in session.answers.held) == [1, 9, 10]  # each expires by its own time
+    assert [r.answers for r in arrive(range(20, 32), 130)] == [[str(i) for i in (1, 9, 10, *range(20, 32))]] and len(calls) <= 4
+
+
 def test_state_expires(spark, tmp_path):
     soon = timedelta(milliseconds=1)
     stream = Stream(spark, str(tmp_path), ANSWERS, lambda df: ss.session_profile_state(df, soon, soon), "processing")
