@@ -182,7 +182,7 @@ def fit(pages: list[tuple[list[Block], list[int]]], rounds: int = ROUNDS) -> Pag
         score = np.clip(np.bincount(rows, theta[columns], minlength=total) + theta[-5], -30, 30)
         gain = np.exp(score)
         trans = np.exp(np.array([[0.0, theta[-4]], [theta[-3], theta[-2]]]))
-        ahead, back, _ = chains.odds(gain, trans, np.exp(theta[-1]))
+        ahead, back = chains.odds(gain, trans, np.exp(theta[-1]))
         p = np.where(real, ahead * back / (1 + ahead * back), 0.0)
         a, x = ahead[before], gain[later] * back[later]
         joint = np.stack([trans[0, 1] * x, a * trans[1, 0], a * trans[1, 1] * x])

@@ -20,6 +20,8 @@ and null ids are scored like others; other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -66,23 +68,19 @@ class Chains:
         # how many chains have a word at step t (they come first, as the longest do)
         self.active = np.searchsorted(-self.lengths, -np.arange(longest), "left")
 
-    def odds(self, gain: np.ndarray, trans: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Forward ratios, backward ratios and the log normaliser's parts of every word.
+    def odds(self, gain: np.ndarray, trans: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
+        """Forward ratios and backward ratios of every word.
 
         `gain` is exp of a word's score for T against O; `trans` the 2 x 2 exponentiated
         transition scores [from][to] with O first. Ratios are T against O.
         """
         (oo, ot), (to, tt) = trans
-        ahead, back, scale = np.zeros(self.total), np.ones(self.total), np.zeros(self.total)
+        ahead, back = np.zeros(self.total), np.ones(self.total)
         ratio = np.full(len(self.starts), start)
         for t, n in enumerate(self.active):
             at = self.starts[:n] + t
             if t:
-                base = oo + to * ratio[:n]
-                ratio[:n] = (ot + tt * ratio[:n]) / base
-                scale[at] = base
-            else:
-                scale[at] = 1.0
+                ratio[:n] = (ot + tt * ratio[:n]) / (oo + to * ratio[:n])
             ratio[:n] *= gain[at]
             ahead[at] = ratio[:n]
         later = np.ones(len(self.starts))
@@ -92,7 +90,7 @@ class Chains:
             back[at] = later[:n]
             x = gain[at] * later[:n]
             later[:n] = (to + tt * x) / (oo + ot * x)
-        return ahead, back, scale
+        return ahead, back
 
 
 @dataclass
@@ -115,7 +113,7 @@ class ToxicityModel:
         """P(word is T) for words with `scores`; every chain ends in LINE_END, which gets 0."""
         ends = np.flatnonzero(np.isnan(scores))
         gain = np.exp(np.nan_to_num(scores))
-        ahead, back, _ = Chains(ends, len(scores)).odds(gain, np.exp(self.trans), np.exp(self.start))
+        ahead, back = Chains(ends, len(scores)).odds(gain, np.exp(self.trans), np.exp(self.start))
         odds = ahead * back
         return odds / (1 + odds)
 
@@ -145,7 +143,7 @@ class WordScores(dict):
         return score
 
 
-def token_labels(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
+def token_labels(texts: Iterable[list[str]], toxic: np.ndarray) -> set[str]:
     """Features (words and their first letters) strongly tied to the toxic label."""
     n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     seen: dict[str, list[int]] = {}
@@ -167,21 +165,25 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds:
         ridge: float = 1e-2) -> ToxicityModel:
     """The CRF by Adam on the exact log likelihood, then the document logistic.
 
-    `share` is the share of toxic among all labels; the sample may hold another.
+    `share` is the share of toxic among all labels; the sample may hold another. The driver holds
+    the sample as numbers, a word once.
     """
     if not toxic.any() or toxic.all():
         return ToxicityModel(constant=float(toxic.mean()) if len(toxic) else 0.0)
-    tokens = [TOKEN.findall(t) + ["\n"] for t in texts]
-    tied = token_labels([[w for w in ws if w != "\n"] for ws in tokens], toxic)
+    tied = token_labels(([w for w in TOKEN.findall(t) if w != "\n"] for t in texts), toxic)
 
     vocabulary: dict[str, int] = {}
-    ids = np.fromiter((vocabulary.setdefault(w.lower(), len(vocabulary)) for ws in tokens for w in ws), np.int64)
-    sizes = np.array([len(ws) for ws in tokens])
-    document = np.repeat(np.arange(len(texts)), sizes)
+    numbers, sizes = array("q"), []
+    for text in texts:
+        found = TOKEN.findall(text)
+        found.append("\n")
+        numbers.extend([vocabulary.setdefault(w.lower(), len(vocabulary)) for w in found])
+        sizes.append(len(found))
+    ids, sizes = np.frombuffer(numbers, np.int64), np.array(sizes)
     line_end = vocabulary["\n"]
     tied_word = np.zeros(len(vocabulary), bool)
     known: dict[str, int] = {}
-    rows, columns = [], []
+    rows, columns = array("q"), array("q")
     for w, i in vocabulary.items():
         if w == "\n":
             continue
@@ -199,7 +201,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds:
     rows, columns = rows[keep[columns]], columns[keep[columns]]
 
     words = ids != line_end
-    gold = tied_word[ids] & toxic[document]
+    gold = tied_word[ids] & np.repeat(toxic, sizes)
     chains = Chains(np.flatnonzero(~words), len(ids))
     n = int(words.sum())
     theta = np.zeros(len(known) + 5)  # weights, bias, OT, TO, TT, start
@@ -215,12 +217,20 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds:
         word_score = np.bincount(rows, theta[columns], minlength=len(vocabulary)) + theta[-5]
         gain = np.exp(np.clip(word_score, -25, 25))[ids]
         trans = np.array([[1.0, np.exp(theta[-4])], [np.exp(theta[-3]), np.exp(theta[-2])]])
-        ahead, back, _ = chains.odds(gain, trans, np.exp(theta[-1]))
-        p = np.where(words, ahead * back / (1 + ahead * back), 0.0)
+        ahead, back = chains.odds(gain, trans, np.exp(theta[-1]))
+        p = ahead * back
+        p /= 1 + p
+        p[~words] = 0.0
         # expected transitions from the forward ratio of a word and the backward of the next
-        a, x = ahead[before], gain[follows] * back[follows]
-        joint = np.stack([trans[0, 1] * x, a * trans[1, 0], a * trans[1, 1] * x])
-        expected = (joint / (trans[0, 0] + joint.sum(0))).sum(1)
+        a, x = ahead[before], gain[follows]
+        x *= back[follows]
+        joint = [trans[0, 1] * x, a * trans[1, 0], np.multiply(a, trans[1, 1], out=a)]
+        joint[2] *= x
+        total = np.add(joint[0], joint[1], out=x)
+        total += joint[2]
+        total += trans[0, 0]
+        expected = np.array([np.divide(j, total, out=j).sum() for j in joint])
+        del ahead, back, gain, a, x, joint, total
         error = np.bincount(ids, p - gold, minlength=len(vocabulary))
         gradient = np.zeros_like(theta)
         gradient[:-5] = np.bincount(columns, error[rows], minlength=len(known)) + ridge * theta[:-5]
@@ -232,8 +242,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds:
 
     strong = {f: float(theta[k]) for f, k in known.items() if keep[k] and abs(theta[k]) > 1e-4}
     model = ToxicityModel(strong, float(theta[-5]), np.array([[0.0, theta[-4]], [theta[-3], theta[-2]]]), float(theta[-1]))
-    cache = WordScores(model)
-    p = model.marginals(np.fromiter((cache[w] for ws in tokens for w in ws), float, len(ids)))
+    del known, rows, columns, p, gold, words, first, follows, before, chains
+    p = model.marginals(np.array([model.word_score(w) for w in vocabulary])[ids])
     x = document_features(p, sizes)
     y, beta = toxic.astype(float), np.zeros(x.shape[1])
     share = toxic.mean() if share is None else share

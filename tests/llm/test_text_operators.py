@@ -182,3 +182,22 @@ def test_inferred_automaton_prefers_its_format():
 
 def test_texts_without_letters_are_undetermined():
     assert [language.has_letter(t) for t in ("½ ² ①", "12 _ !", "", None, "1a", "日", "ª")] == [False] * 4 + [True] * 3
+
+
+def test_the_toxicity_fit_holds_words_once():
+    """The driver's share: some 30 tokens a line, of which only numbers may stay."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    from hearthline.llm import toxicity
+
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.choice('abcdefgh') * 3}{'word' * rng.randrange(4)}" for _ in range(3000)) + (" vileword" if i % 4 == 0 else "")
+             for i in range(100)]
+    tracemalloc.start()
+    model = toxicity.fit(texts, np.arange(100) % 4 == 0, rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.constant is None and peak < 100 * 300_000  # 100 bytes a token
