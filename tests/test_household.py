@@ -133,3 +133,15 @@ def test_training_and_scoring_share_one_feature_base(spark):
         "dependents_ratio", ft.dependents_ratio(size, income, "serve").alias("served"), "rural_low_income_flag",
         ft.rural_low_income_flag(F.col("region_type"), income).alias("served_flag")).collect()
     assert all(r.dependents_ratio == r.served and r.rural_low_income_flag == r.served_flag for r in both)
+
+
+def test_tasks_merge_fewer_bytes_than_usual_unless_the_session_says_otherwise(spark):
+    from hearthline.session import TASK_BYTES, tune
+
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    fresh = spark.newSession()
+    fresh.conf.unset(name)
+    assert tune(fresh).conf.get(name) == TASK_BYTES
+    own = spark.newSession()
+    own.conf.set(name, "32MB")
+    assert tune(own).conf.get(name) == "32MB"
