@@ -19,8 +19,10 @@ gives no rows; columns besides `doc_id` and `text` are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,8 +43,33 @@ STAGED = ("doc_id long, row_id long, doc_tokens long, full_crc array<long>, full
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
-#: Marks that run together before a space, which are one word to the tokenizer.
-MARKS_TOGETHER = (",, ", ",. ", "., ", ".. ")
+#: Letters of text whose chunks are looked up together, so that new words are encoded together.
+BLOCK_LETTERS = 2_000_000
+
+#: Words that are encoded together.
+WORDS_AT_ONCE = 150
+
+#: A comma or full stop that the tokenizer may join to a mark before it, or to the dot that U+0130 gets in lower case.
+BEHIND_MARKS = re.compile(r"[,.](?<=[^\w\s].|[_\u0130].) ")
+#: Runs of ASCII marks but for the apostrophe, single digits, and what is neither.
+PARTS = re.compile(r"[!-&(-/:-@\[-`{-~]+|[0-9]|[^!-&(-@\[-`{-~]+")
+#: First letters of the tokenizer's special words, which it finds within chunks.
+SPECIAL = "<|"
+
+
+def is_word(chunk: str) -> bool:
+    """Letters only, in lower case too: one word to the tokenizer."""
+    return chunk.isalpha() and (chunk.isascii() or chunk.lower().isalpha())
+
+
+def parts_of(chunk: str) -> list[str] | None:
+    """The tokenizer's words of a chunk: runs of letters, runs of marks, single digits. None where
+    other characters leave that to the tokenizer."""
+    if SPECIAL in chunk:
+        return None
+    parts = PARTS.findall(chunk)
+    return parts if all(part.isascii() and not part[0].isalpha() and part.isprintable() and part[0] != "'" or is_word(part)
+                        for part in parts) else None
 
 
 class ChunkIds:
@@ -51,7 +78,7 @@ class ChunkIds:
     The tokenizer drops white space before merging, so no token spans two chunks, and the ids
     of a text are those of its chunks one after another. A comma or full stop behind a letter
     or digit is a word of its own to the tokenizer and becomes a chunk; texts where such marks
-    stand behind others are left as they are.
+    stand behind others are cut at white space only. A chunk of several words has their ids.
     """
 
     def __init__(self, path: str):
@@ -60,56 +87,88 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.uncut: dict[str, bytes] = {}
 
     def encoded(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: set[str]) -> bool:
-        """Add `chunks`; False if one ends in a mark, so that the next could belong to it.
-        Words of letters are encoded together, as each is a word of its own."""
-        known, older, words = self.known, self.older, []
-        for chunk in chunks:
-            if chunk and not chunk[-1].lower().isalnum() and chunk not in (",", "."):
-                return False
-        for chunk in chunks:
-            if chunk in older:
-                known[chunk] = older[chunk]
-            elif chunk.isalpha():
-                words.append(chunk)
-            else:
+    def learn_words(self, words: list[str]) -> None:
+        """Words of letters are encoded together, as each is a word of its own; halves are tried
+        where the tokenizer sees more words."""
+        if len(words) < 2:
+            self.known.update((word, self.encoded(word)) for word in words)
+            return
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        counts = np.bincount(found.word_ids, minlength=len(words))
+        if len(counts) > len(words):
+            self.learn_words(words[:len(words) // 2])
+            self.learn_words(words[len(words) // 2:])
+            return
+        data, at, known = np.array(found.ids, "<u4").tobytes(), 0, self.known
+        for word, n in zip(words, (counts * 4).tolist()):
+            known[word] = data[at:at + n]
+            at += n
+
+    def learn(self, chunks: set[str]) -> None:
+        known, older, made = self.known, self.older, []
+        if older:
+            known.update((chunk, older[chunk]) for chunk in chunks if chunk in older)
+            chunks = chunks.difference(older)
+        words = {chunk for chunk in chunks if chunk.isalpha() and (chunk.isascii() or is_word(chunk))}
+        for chunk in chunks.difference(words):
+            parts = parts_of(chunk)
+            if not parts or len(parts) == 1:
                 known[chunk] = self.encoded(chunk)
-        if words:
-            found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            counts = np.bincount(found.word_ids, minlength=len(words))
-            if len(counts) == len(words):
-                data, at = np.array(found.ids, "<u4").tobytes(), 0
-                for word, n in zip(words, (counts * 4).tolist()):
-                    known[word] = data[at:at + n]
-                    at += n
-            else:
-                known.update((word, self.encoded(word)) for word in words)
-        return True
-
-    def of(self, text: str) -> bytes:
+                continue
+            made.append((chunk, parts))
+            for part in parts:
+                if part in older:
+                    known[part] = older[part]
+                elif is_word(part):
+                    if part not in known:
+                        words.add(part)
+                elif part not in known:
+                    known[part] = self.encoded(part)
+        every = list(words)
+        for at in range(0, len(every), WORDS_AT_ONCE):
+            self.learn_words(every[at:at + WORDS_AT_ONCE])
+        known.update((chunk, b"".join(map(known.__getitem__, parts))) for chunk, parts in made)
+
+    @staticmethod
+    def chunks_of(text: str) -> list[str]:
         try:  # in this range lower case is one letter for one, whatever the tokenizer does first
             text.encode("latin-1")
             text = text.lower()
         except UnicodeEncodeError:
             pass
         text = text.replace("\n", " ") + " "
+        if BEHIND_MARKS.search(text) is None:
+            text = text.replace(", ", " , ").replace(". ", " . ")
+        return text.split(" ")
+
+    def of_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of every text; new chunks of all of them are learned first."""
         if len(self.known) >= REMEMBERED_CHUNKS:
             self.older, self.known = self.known, {}
-        if not any(marks in text for marks in MARKS_TOGETHER):
-            chunks = text.replace(", ", " , ").replace(". ", " . ").split(" ")
-            new = set(chunks).difference(self.known)
-            if not new or self.learn(new):
-                return b"".join(map(self.known.__getitem__, chunks))
-        if len(self.uncut) >= REMEMBERED_CHUNKS // 4:
-            self.uncut.clear()
-        chunks = text.split(" ")
-        self.uncut.update((chunk, self.encoded(chunk)) for chunk in set(chunks).difference(self.uncut))
-        return b"".join(map(self.uncut.__getitem__, chunks))
+        cut = [self.chunks_of(text) for text in texts]
+        new = set().union(*cut).difference(self.known)
+        if new:
+            self.learn(new)
+        for chunks in cut:
+            yield b"".join(map(self.known.__getitem__, chunks))
+
+    def of(self, text: str) -> bytes:
+        return next(self.of_all([text]))
+
+    def in_blocks(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of every text, BLOCK_LETTERS looked up at a time."""
+        block, letters = [], 0
+        for text in texts:
+            block.append(text)
+            letters += len(text)
+            if letters >= BLOCK_LETTERS:
+                yield from self.of_all(block)
+                block, letters = [], 0
+        yield from self.of_all(block)
 
 
 _LOADED: dict[str, ChunkIds] = {}
@@ -131,8 +190,9 @@ def tokenized(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) ->
         row = full = 0
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = ids_of.of(text or "") + end
+            every = ids_of.in_blocks(text or "" for text in batch["text"])
+            for doc_id, ids in zip(batch["doc_id"], every):
+                ids += end
                 size, step = len(ids) // 4, window * 4
                 n_full = size // window
                 crcs = [zlib.crc32(ids[i * step:(i + 1) * step]) for i in range(n_full)]

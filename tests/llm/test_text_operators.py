@@ -67,6 +67,30 @@ def test_chunks_give_the_tokenizers_ids():
         assert np.frombuffer(chunks.of(text), "<u4").tolist() == chunks.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+class Counting:
+    """A tokenizer that counts its calls."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, 0
+
+    def encode(self, text, **settings):
+        self.calls += 1
+        return self.tokenizer.encode(text, **settings)
+
+
+def test_new_words_are_encoded_together_whatever_marks_follow():
+    chunks, rng = packing.ChunkIds(tokenizer_path()), random.Random(5)
+    chunks.tokenizer = counting = Counting(chunks.tokenizer)
+    words = ["".join(rng.choice("abcdeéü") for _ in range(rng.randrange(3, 12))) for _ in range(600)]
+    texts = [" ".join(f"{a}{w}{b}" for w, (a, b) in zip(words[i:i + 100], [("", "###"), ("(", ")"), ("", "!!"), ("", ",."), ("x-", " 12.50"), ("", "")] * 17))
+             for i in range(0, 600, 100)]
+    found = [chunks.of(text) for text in texts]
+    assert counting.calls < 60
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [
+        counting.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert list(chunks.in_blocks(texts)) == found and list(chunks.in_blocks([])) == []
+
+
 def labelled_corpus(n=400):
     rng = random.Random(7)
     plain, bad = [f"{a}{b}" for a in "bcdfg" for b in ("ana", "eno", "ilo", "oru")], ["vexling", "vexor", "grubbish"]
