@@ -67,10 +67,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
         size = 0
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                document = Counter(terms_of(text))
+                terms = terms_of(text)
+                document = Counter(terms)
                 n, documents = held.setdefault((lang, source), (Counter(), Counter()))
                 size -= len(n)
-                n.update(document.elements())
+                n.update(terms)
                 documents.update(document.keys())
                 size += len(n)
                 if size >= HELD_TERMS:
