@@ -24,6 +24,8 @@ import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from string import ascii_letters
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -85,12 +87,22 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        #: ASCII words need only the merges: splitting keeps them whole and no added token lies within them
+        self.merges_only = not any(map(str.isalpha, added)) and all(
+            self.merged(word) == self.encoded(word) for word in (ascii_letters, *ascii_letters, "Water", "theinandofon"))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def encoded(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def merged(self, word: str) -> bytes:
+        """Ids of a word of ASCII letters, by the tokenizer's merges alone."""
+        ids = [token.id for token in self.model.tokenize(word.lower())]
+        return pack(f"<{len(ids)}I", *ids)
+
     def learn_words(self, words: list[str]) -> None:
         """Words of letters are encoded together, as each is a word of its own; halves are tried
         where the tokenizer sees more words."""
@@ -128,6 +140,10 @@ class ChunkIds:
                         words.add(part)
                 elif part not in known:
                     known[part] = self.encoded(part)
+        if self.merges_only:
+            plain = set(filter(str.isascii, words))
+            known.update((word, self.merged(word)) for word in plain)
+            words -= plain
         every = list(words)
         for at in range(0, len(every), WORDS_AT_ONCE):
             self.learn_words(every[at:at + WORDS_AT_ONCE])
