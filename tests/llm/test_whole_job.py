@@ -32,6 +32,35 @@ def test_typos_in_lines_of_words(spark, docs_of):
     assert missed <= 4
 
 
+def test_different_lines_are_signed_once_and_in_one_row(docs_of):
+    """Repeats are made one before they are signed; linked lines pass the test on four bits of their minima."""
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abcdefgh \u00e9\U0001f600") for _ in range(n)).strip() or "x" for n in (1, 4, 5, 6, 60, 200, 2000)]
+    docs = docs_of([(-3 - i, "\n".join([line, line.upper(), "  " + line, ""])) for i in range(3) for line in lines])
+    signed = line_dedup.classes_of(docs).collect()
+    assert len(signed) == len(set(lines)) == len({(r.h1, r.h2) for r in signed})
+    assert all(len(r.bands) == line_dedup.BANDS for r in signed)
+    assert {int(r.first // line_dedup.LINE_PLACES) for r in signed} == {-5}
+    near = []
+    for i in range(200):
+        line = [rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(40, 120))]
+        other = line[:]
+        while True:
+            before, at = other[:], rng.randrange(len(line))
+            other[at] = "z"
+            x, y = runs_of("".join(line)), runs_of("".join(other))
+            if 100 * len(x & y) < 80 * len(x | y):
+                break
+        near.append(("".join(line), "".join(before)))
+    sketches = {r.h1: r.sketch for r in line_dedup.classes_of(docs_of([(i, "\n".join(p)) for i, p in enumerate(near)])).collect()}
+    keys = line_dedup.lines_of(docs_of([(i, "\n".join(p)) for i, p in enumerate(near)])).select("doc_id", "line_no", "h1").collect()
+    h1 = {(r.doc_id, r.line_no): r.h1 for r in keys}
+    for i in range(len(near)):
+        a, b = sketches[h1[i, 0]], sketches[h1[i, 1]]
+        differing = sum((x >> 4 * k & 15) != (y >> 4 * k & 15) for x, y in zip(a, b) for k in range(line_dedup.MINIMA_A_WORD))
+        assert differing <= line_dedup.most_differing(80)
+
+
 def test_plain_tokens_are_all_counted(docs_of):
     texts = ["ordinary tokens number1234 appear", None, "ordinary ordinary"]
     plain = secret_scan.learn(docs_of(list(enumerate(texts)))).plain
