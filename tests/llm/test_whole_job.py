@@ -61,6 +61,21 @@ def test_different_lines_are_signed_once_and_in_one_row(docs_of):
         assert differing <= line_dedup.most_differing(80)
 
 
+def test_runs_are_hashed_once_a_text_and_sketches_join_shared_bands_only(spark, docs_of, monkeypatch):
+    texts = ["", "ab", "abcde", "abcdefabcdef", "\u00e9\U0001f600" * 9, "x" * 300]
+    hashed = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", line_dedup.runs("t").alias("r"))
+    found = {r.i: r.r for r in hashed.collect()}
+    assert all(len(found[i]) == len(set(found[i])) == len(runs_of(t)) for i, t in enumerate(texts))
+    assert set(found[2]) < set(found[3])
+    classes = line_dedup.classes_of(docs_of([(1, "a line of some words\nanother"), (2, "a line of some words!\nquite different")]))
+    plans = []
+    monkeypatch.setattr(line_dedup, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    lists = line_dedup.band_lists(classes).collect()
+    assert len({r.node for r in lists}) == 2 and all(r.about is not None for r in lists)
+    window = plans[0][plans[0].index("Window"):]
+    assert "sketch" not in window[:window.index("Relation")]
+
+
 def test_plain_tokens_are_all_counted(docs_of):
     texts = ["ordinary tokens number1234 appear", None, "ordinary ordinary"]
     plain = secret_scan.learn(docs_of(list(enumerate(texts)))).plain
