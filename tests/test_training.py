@@ -90,3 +90,24 @@ def test_gate(spark):
 
 def test_fixed_lists_are_consistent():
     assert set(fv.EXCLUDED_FEATURES) == {*fv.STRESS_LABELS, fv.COMPOSITE_LABEL}
+
+
+def test_rows_of_a_fit_are_dealt_evenly(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(4000).repartitionByRange(3, F.when(F.col("id") < 3990, 0).otherwise(F.col("id")))
+    assert tr.dealt_evenly(rows, 4000).rdd.getNumPartitions() == rows.rdd.getNumPartitions()  # too few to matter
+    monkeypatch.setattr(tr, "EVEN_FROM", 4000 // cores)
+    sizes = [len(part) for part in tr.dealt_evenly(rows, 4000).rdd.glom().collect()]
+    assert len(sizes) == cores and sum(sizes) == 4000 and max(sizes) - min(sizes) <= 2 * rows.rdd.getNumPartitions()
+    monkeypatch.setattr(tr, "PART_ROWS", 4000 // cores - 1)
+    assert tr.dealt_evenly(rows, 4000).rdd.getNumPartitions() == 2 * cores
+
+
+def test_classifiers_and_regressor_fit_on_rows_dealt_evenly(spark, frame, monkeypatch):
+    monkeypatch.setattr(tr, "EVEN_FROM", 1)
+    seen = []
+    real = tr.dealt_evenly
+    monkeypatch.setattr(tr, "dealt_evenly", lambda df, rows: seen.append((real(df, rows).rdd.getNumPartitions(), rows)) or real(df, rows))
+    tr.train_stress_classifier(frame, "debt_stress", ["household_id"], rounds=1, depth=1)
+    tr.train_composite_regressor(frame.withColumnRenamed("debt_stress", fv.COMPOSITE_LABEL), rounds=1, depth=1)
+    assert seen == [(spark.sparkContext.defaultParallelism, 400)] * 2
