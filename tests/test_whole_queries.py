@@ -2,9 +2,12 @@
 
 import inspect
 import json
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from hearthline import fixed_values as fv
 from hearthline.catalog import drift, load_registry, training
@@ -54,3 +57,34 @@ def test_partitions_are_reduced_to_bucket_ends():
     frames = [pd.DataFrame({"domain": ["d"] * 500, "us": range(i * 500, i * 500 + 500)}) for i in range(4)]
     out = pd.concat(sessions.bucket_ends(iter(frames), 1000))
     assert out.values.tolist() == [["d", 0, 999], ["d", 1000, 1999]]
+
+
+def test_top_features_of_every_classifier(spark, monkeypatch):
+    asked = []
+
+    def model_of(t, label, train):
+        asked.append((label, train))
+        names = [f"{label}_{i:02}" for i in range(12)]
+        return SimpleNamespace(label=label, prep=SimpleNamespace(features=names),
+                               model=SimpleNamespace(featureImportances=Vectors.dense(range(12))))
+
+    monkeypatch.setattr(training, "split", lambda t, label: (f"rows of {label}", None))
+    monkeypatch.setattr(training, "model_of", model_of)
+    rows = load_registry()["top_features"].run(SimpleNamespace(spark=spark)).collect()
+    assert sorted(asked) == sorted((label, f"rows of {label}") for label in fv.STRESS_LABELS)
+    for label in fv.STRESS_LABELS:
+        top = sorted((r.rank, r.feature) for r in rows if r.model == label)
+        assert top == [(i + 1, f"{label}_{11 - i:02}") for i in range(10)]
+
+
+def test_driver_sentences_name_the_members(spark, monkeypatch):
+    test = spark.createDataFrame([("h1", "2000-01-01", 1000.0, 900.0, 300.0, 0.0, 4), ("h2", "2000-01-01", None, 900.0, 300.0, 0.0, 4)],
+                                 "household_id string, month_slot string, total_income double, total_expenditure_adjusted double, "
+                                 "exp_food_adjusted double, exp_all_emis double, num_members long")
+    found = test.select("household_id", "month_slot", F.lit(0.5).alias("probability"), F.array(F.struct(
+        F.lit("age_years_hh_mean").alias("feature"), F.lit(1.0).alias("delta"))).alias("drivers"))
+    monkeypatch.setattr(training, "split", lambda t, label: (None, test))
+    monkeypatch.setattr(training, "model_of", lambda *_: None)
+    monkeypatch.setattr(tr, "row_drivers", lambda *_: found)
+    said = {r.household_id: r.drivers for r in load_registry()["row_drivers"].run(None).collect()}
+    assert said == {"h1": "Family of 4 on ₹1,000/month", "h2": "Age Years Hh Mean is a key driver"}
