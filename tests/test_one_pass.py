@@ -8,6 +8,7 @@ import pytest
 from hearthline.catalog import load_registry
 from hearthline.catalog.drift import CATEGORICAL, MONITORED
 from hearthline.catalog.training import NUMBERS, ROW, WORDS
+from hearthline.operators import profile as p
 
 MONTHS = [datetime.date(1998, 5, 1), datetime.date(1999, 12, 1), datetime.date(2000, 1, 1), datetime.date(2001, 7, 1), None]
 
@@ -38,3 +39,14 @@ def test_months_are_computed_once(counted, name):
     assert load_registry()[name].run(tables).collect()
     assert seen.value - before == 60
     assert set(ROW) <= set(tables.household.columns)
+
+
+def test_text_cells_are_only_parsed_where_a_sentinel_can_be(spark):
+    texts = ["-99", " -99.0 ", "\t-9.9e1", "-990e-1d", "99", "x-99", "-", "- 99", "-99x", "NaN", "-Infinity", "", None, "12-99", "-100"]
+    df = spark.createDataFrame([(t, -99.0) for t in texts], "t string, n double")
+    parsed = df.filter("try_cast(trim(t) as double) = -99").count()
+    row = p.profile_row(df, "d").first()
+    assert parsed >= 3 and row.sentinel_cells == parsed + len(texts)
+    assert p.profile_row(df, "d", 99.0).first().sentinel_cells == 1
+    plan = p.profile_row(df, "d")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan and "contains" in plan.lower()
