@@ -1,8 +1,11 @@
 """The household job over raw files that arrive, change and go missing halfway."""
 
+from types import SimpleNamespace
+
 import pytest
 
 from hearthline import fixed_values as fv
+from hearthline.catalog import sources
 from hearthline.plans import household_job as hj
 from hearthline.plans.household import household_stress_dataset
 from hearthline.plans.household_job import CONSUMPTION, DATASET, INCOME, PEOPLE, HouseholdJob
@@ -114,3 +117,14 @@ def test_stamps_come_from_the_folder_or_the_name(spark):
     paths = ["/d20190101/file_stamp=20200131/part-0.csv", "/d20190101/inc_20200229_MS.csv", "/d20190101/x.csv"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert [r[0] for r in df.select(hj.stamp_of_path(df.p)).collect()] == ["20200131", "20200229", None]
+
+
+def test_the_query_compresses_its_raw_months_and_splits_large_ones(spark, raw, tmp_path, monkeypatch):
+    surveys = {unit: hj.ingest_raw_csv(spark, folder, hj.RAW_COLUMNS[unit], hj.stamp_of_path) for unit, folder in raw.folders().items()}
+    tables = SimpleNamespace(spark=spark, inc_raw=surveys[INCOME], con_raw=surveys[CONSUMPTION], poi_raw=surveys[PEOPLE])
+    monkeypatch.setattr(sources, "shared_dir", lambda *_: str(tmp_path / "query"))
+    monkeypatch.setattr(sources, "DEMO_CUTOFF", "2020-02-15")
+    monkeypatch.setattr(sources, "RAW_FILE_ROWS", 1)
+    assert rows_of(sources.household_job(tables)) == rows_of(in_one_plan(spark, raw))
+    files = [f.name for f in (tmp_path / "query" / "raw" / INCOME).rglob("part-*")]
+    assert len(files) == 4 and all(name.endswith(".csv.gz") for name in files)
